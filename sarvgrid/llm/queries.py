@@ -5,24 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplanes, packing
+from . import bitplanes, fertility, langid, packing, qda
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(doc_id: F.Column, of: int) -> F.Column:
+    """crc32(doc_id as text) mod ``of``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op1_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = remainder(F.col("doc_id"), 3) != 1
+    found = qda.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.token_files(table(spark, sf_dir, "documents"))
 
 
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 4) == 2
+    found = langid.predict(docs, langid.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bitplane_token_files, op9_pattern_packing)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op6_marginal_unigrams, op9_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
