@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip([*_SHOWN, *(b for b in range(256) if b not in set(_SHOWN))], map(chr, [*_SHOWN, *range(256, 324)]), strict=True))
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def public_path(name: str) -> str:
     """Place of a vocabulary file on this machine; an absolute path stands for itself."""
     if os.path.isabs(name):
@@ -47,33 +51,41 @@ class Encoder:
         self.tokenizer, self.end = Tokenizer.from_file(public_path(name)), end
         self.table, self.pieces = WordTable(self._encode), {}
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """Words of plain Latin characters are cut by the vocabulary's own pattern and each distinct cut goes to its
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers, which take less memory than lists.
+
+        Words of plain Latin characters are cut by the vocabulary's own pattern and each distinct cut goes to its
         merges; all others take the library's whole path."""
-        made: list[list[int]] = []
-        if len(self.pieces) > 400_000:
+        made: list[bytes] = []
+        if len(self.pieces) > 250_000:
             self.pieces = {}
         pieces, merge = self.pieces, self.tokenizer.model.tokenize
         for word in words:
             text = word.decode("utf-8", "replace")
+            low = text.lower()
+            if (got := pieces.get(low)) is not None and len(low) == len(text):
+                made.append(got)
+                continue
             if not _PLAIN(text) or "<|" in text:
-                made.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                made.append(pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
-            ids: list[int] = []
-            for cut in _CUTS(text.lower()):
+            parts = []
+            for cut in _CUTS(low):
                 if (got := pieces.get(cut)) is None:
                     raw = cut if cut.isascii() else "".join(map(_BYTE_CHARS.__getitem__, cut.encode()))
-                    got = pieces[cut] = [t.id for t in merge(raw)]
-                ids += got
-            made.append(ids)
+                    got = pack([t.id for t in merge(raw)])
+                    if len(cut) <= 64:
+                        pieces[cut] = got
+                parts.append(got)
+            made.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return made
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end ids included; bounds of each text in them). A null text counts as empty."""
         words = Words(texts)
         own = self.table.of(words.vocabulary)
-        flat = np.array([*chain.from_iterable(own), self.end], dtype=np.uint32)
-        size = np.array([*map(len, own), 1], dtype=np.int64)
+        flat = np.frombuffer(b"".join([*own, pack([self.end])]), dtype="<u4")
+        size = np.array([*map(len, own), 4], dtype=np.int64) // 4
         begin = np.cumsum(size) - size
         # the word sequence with one end mark behind each document
         marks = np.insert(words.ids.astype(np.int64), words.bounds[1:], len(own))

@@ -15,7 +15,7 @@ import pyarrow.compute
 import xxhash
 
 #: Bytes of text worked on at once in a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -140,17 +140,18 @@ class WordTable:
     memory stays bounded and results don't change.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list], most: int = 400_000):
+    def __init__(self, make: Callable[[list[bytes]], list], most: int = 250_000):
         self.make, self.most, self.known = make, most, {}
 
     def of(self, vocabulary: list[bytes]) -> list:
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        new = [w for w in vocabulary if w not in known]
-        if not new:
-            return [known[w] for w in vocabulary]
-        made = self.make(new)
-        fresh = dict(zip(new, made, strict=True))
-        known.update((w, v) for w, v in fresh.items() if len(w) <= 64)
-        return [fresh[w] if w in fresh else known[w] for w in vocabulary]
+        found = list(map(self.known.get, vocabulary))
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            new = [vocabulary[k] for k in missing]
+            for k, word, value in zip(missing, new, self.make(new), strict=True):
+                found[k] = value
+                if len(word) <= 64:
+                    self.known[word] = value
+        return found
