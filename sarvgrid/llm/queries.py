@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, fertility, langid, packing, qda
+from . import bitplanes, fertility, langid, packing, qda, triejoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -45,7 +49,7 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op6_marginal_unigrams, op9_pattern_packing)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op9_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
