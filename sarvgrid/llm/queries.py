@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, fertility, langid, packing, qda, triejoin
+from . import bitplanes, fertility, langid, packing, qda, substrings, triejoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,12 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op9_pattern_packing)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op9_pattern_packing, op10_fingerprint_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
