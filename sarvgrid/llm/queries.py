@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, fertility, langid, packing, qda, substrings, triejoin
+from . import bitplanes, fertility, langid, packing, qda, substrings, toxicity, triejoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def op6_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 3) == 1
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels").where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op10_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op9_pattern_packing, op10_fingerprint_runs)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op8_lexicon_automata, op9_pattern_packing, op10_fingerprint_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
