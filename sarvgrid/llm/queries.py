@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, fertility, langid, packing, qda, substrings, toxicity, triejoin
+from . import bitplanes, fertility, graphsearch, langid, packing, qda, substrings, toxicity, triejoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphsearch.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 3) == 1
@@ -60,7 +65,7 @@ def op10_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op8_lexicon_automata, op9_pattern_packing, op10_fingerprint_runs)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op7_robust_graph, op8_lexicon_automata, op9_pattern_packing, op10_fingerprint_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
