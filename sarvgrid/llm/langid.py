@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .store import discard, parts, settle
 from .tokens import public_path
-from .words import Words, WordTable, slices
+from .words import Words, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # where a word begins
@@ -55,30 +55,70 @@ def lattice(run: str, pieces: dict[str, int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def score_many(found: list[str], pieces: dict[str, int], weights: np.ndarray) -> np.ndarray:
+class PieceTable:
+    """Piece numbers by a 64-bit polynomial hash of their characters, in an open-addressed table that arrays are looked up in."""
+
+    def __init__(self, pieces: dict[str, int], bits: int = 18):
+        self.miss = len(pieces) + 1
+        keys = np.array([self._key(p) for p in pieces], np.uint64)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids, self.probes = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.miss, np.int32), 1
+        for key, number, slot in zip(keys, pieces.values(), self._slot(keys).tolist(), strict=True):
+            n = 1
+            while self.ids[slot] != self.miss:
+                slot, n = (slot + 1) & self.mask, n + 1
+            self.keys[slot], self.ids[slot], self.probes = key, number, max(self.probes, n)
+
+    @staticmethod
+    def _key(piece: str) -> int:
+        key = 0
+        for c in piece:
+            key = (key * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return key
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.ids[slot], self.miss)
+        for _ in range(self.probes - 1):
+            slot = (slot + 1) & self.mask
+            out = np.where(self.keys[slot] == keys, self.ids[slot], out)
+        return out
+
+
+@lru_cache(maxsize=2)
+def piece_table(name: str = VOCABULARY) -> PieceTable:
+    return PieceTable(vocabulary(name))
+
+
+def score_many(found: list[str], weights: np.ndarray, table: PieceTable, pieces: dict[str, int]) -> np.ndarray:
     """score_runs() of each run, as a row: runs of one length take each step of the forward pass together."""
     out = np.zeros((len(found), weights.shape[1]))
     sizes = np.array([len(r) for r in found])
     # one row more than there are pieces: the weight of what is no piece
-    table = np.vstack([weights, np.zeros(weights.shape[1])])
-    get, miss = pieces.get, len(weights)
+    own = np.vstack([weights, np.zeros(weights.shape[1])])
     for n in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == n)
         if n > 32:  # products may leave the range of doubles
             for r in rows.tolist():
                 out[r] = score_runs([found[r]], pieces, weights.tolist(), weights.shape[1])
             continue
-        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + MAX_PIECE) + 1)]
-        for some in np.array_split(rows, -(-len(rows) // 20_000)):
-            ids = np.fromiter((get(r[i:j], miss) for r in map(found.__getitem__, some.tolist()) for i, j in spans), np.int32, len(some) * len(spans)).reshape(len(some), -1)
-            alpha = np.zeros((n + 1, len(some), weights.shape[1]))
-            alpha[0] = 1.0
-            for (i, j), p in zip(spans, ids.T, strict=True):
+        chars = np.frombuffer("".join(map(found.__getitem__, rows.tolist())).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+        alpha = np.zeros((n + 1, len(rows), weights.shape[1]))
+        alpha[0] = 1.0
+        for i in range(n):
+            key = np.zeros(len(rows), np.uint64)
+            for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + chars[j - 1]
+                p = table.find(key)
                 if j == i + 1:
-                    p = np.where(p == miss, 0, p)
-                if (p != miss).any():
-                    alpha[j] += alpha[i] * table[p]
-            out[some] = np.log(alpha[n])
+                    p[p == table.miss] = 0
+                hit = np.flatnonzero(p != table.miss)
+                if len(hit):
+                    alpha[j, hit] += alpha[i, hit] * own[p[hit]]
+        out[rows] = np.log(alpha[n])
     return out
 
 
@@ -113,6 +153,24 @@ def score_runs(found: list[str], pieces: dict[str, int], weights: list[list[floa
     return out
 
 
+class Scorer:
+    """Log probabilities of words for each language, with a last column of 1 for words that have a letter."""
+
+    def __init__(self, weights: np.ndarray, name: str = VOCABULARY):
+        self.weights, self.pieces, self.table = weights, vocabulary(name), piece_table(name)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        cut = [runs(w) for w in words]
+        number: dict[str, int] = {}
+        flat = [number.setdefault(r, len(number)) for found in cut for r in found]
+        own = np.column_stack([score_many(list(number), self.weights, self.table, self.pieces), np.ones(len(number))])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        to = np.repeat(np.arange(len(cut)), n)
+        out = np.column_stack([np.bincount(to, c, len(cut)) for c in own[flat].T]) if flat else np.zeros((len(cut), own.shape[1]))
+        out[:, -1] = n > 0
+        return out
+
+
 def expected(run: str, pieces: dict[str, int], weights: np.ndarray) -> list[tuple[int, float]]:
     """Expected uses of each piece in a run under one language's weights, by a forward and a backward pass."""
     n, arcs = len(run), lattice(run, pieces)
@@ -212,24 +270,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, name = sent.value
-        pieces, k = vocabulary(name), len(languages)
-        none = np.zeros(k + 1)
-
-        weights = weights.astype(np.float64)
-        scored: dict[str, np.ndarray] = {}
-
-        def score(words: list[bytes]) -> list[np.ndarray]:
-            if len(scored) > 300_000:
-                scored.clear()
-            cut = [runs(w) for w in words]
-            new = list({r for found in cut for r in found if r not in scored})
-            scored.update(zip(new, score_many(new, pieces, weights), strict=True) if new else ())
-            return [np.array([*sum(map(scored.__getitem__, found)), 1.0]) if found else none for found in cut]
-
-        table = WordTable(score, 200_000)
-        for part in slices(batches, "text"):
+        k, scorer = len(languages), Scorer(weights.astype(np.float64), name)
+        for part in slices(batches, "text", 4 << 20):
             words = Words(part.column("text"))
-            own = np.array(table.of(words.vocabulary)).reshape(-1, k + 1)
+            own = scorer.of(words.vocabulary)
             total = np.zeros((words.n, k + 1))
             for c in range(k + 1):
                 total[:, c] = np.bincount(words.doc, own[:, c][words.ids] if len(words.ids) else None, words.n)
