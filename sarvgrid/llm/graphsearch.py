@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .store import settle
 
 #: Vectors in a shard at most (about), edges of a node, beams of building and of searching, pruning factor.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 6_000, 24, 48, 96, 1.2
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 3_000, 32, 64, 256, 1.2
 #: Queries that one task searches a shard for.
 QUERIES = 4_096
 
