@@ -1,24 +1,53 @@
-"""A corpus pipeline of training-data operators."""
+"""A corpus pipeline of training-data operators: judge, join near copies, cut repeated passages, mix, pack."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sarvgrid.llm import packing
+from sarvgrid.llm import mixing, packing, qda, substrings, triejoin
+from sarvgrid.llm.queries import by_language
 from sarvgrid.llm.store import settle
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return qda.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return triejoin.one_of_each(docs, width=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under a window of twenty that starts earlier go; the documents stay."""
+    return substrings.deduplicate(docs, rows=True)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that the expected tokens of the languages meet tempered weights; none has to shrink."""
+    return mixing.mix(docs, by_language(docs))
+
+
+def pattern_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack_sequences)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", pattern_packing),
+]
 
-#: SQL can't state the classifier, the trie join or the packing; tests hold each stage against a brute-force version.
+#: SQL can't state the classifier, the mixing or the packing; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fertility import repeated_words
-from .store import settle
+from .store import discard, settle
 from .words import Words, column_bytes, slices
 
 
@@ -200,3 +200,25 @@ def train_and_score(docs: DataFrame, labels: DataFrame, training: F.Column | Non
     """
     described, _ = settle(describe(docs), "statistics")
     return score(described, train(described, labels if training is None else labels.where(training)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = 50_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts (score >= threshold), columns as they are.
+
+    Learns from about ``most`` of ``labels`` (doc_id, quality), those of smallest hash of doc_id: they are few enough to be sent
+    to the texts, so no text is shuffled. Nulls and empty texts are judged by their statistics.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), "quality")
+    share = min(1.0, most / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = texts.join(F.broadcast(known.select("_id").distinct()), texts["doc_id"] == F.col("_id"), "left_semi")
+    described, path = settle(describe(some), "statistics")
+    model = train(described, known.withColumnRenamed("_id", "doc_id"))
+    discard(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(model.score(statistics(part.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

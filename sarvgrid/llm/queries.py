@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, fertility, graphsearch, langid, packing, qda, substrings, toxicity, triejoin
+from . import bitplanes, fertility, graphsearch, langid, mixing, packing, qda, substrings, toxicity, triejoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.token_files(table(spark, sf_dir, "documents"))
 
 
+def by_language(docs: DataFrame) -> DataFrame:
+    """The labelled table of the mixing queries: documents whose language is known, as their domain."""
+    return docs.select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+def op3_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, by_language(docs))
+
+
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,7 @@ def op10_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op7_robust_graph, op8_lexicon_automata, op9_pattern_packing, op10_fingerprint_runs)}
+    return {f.__name__: f for f in (op1_regularised_qda, op2_bitplane_token_files, op3_soft_membership_mixing, op4_tokeniser_fertility, op5_prefix_tree_join, op6_marginal_unigrams, op7_robust_graph, op8_lexicon_automata, op9_pattern_packing, op10_fingerprint_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

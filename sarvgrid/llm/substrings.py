@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bitplanes import open_fs
 from .store import discard, fresh_path, parts, settle
 from .triejoin import SLICE, _gaps, pack_arrays, unpack_arrays
-from .words import Words, rolling, slices, windows
+from .words import Words, column_bytes, rolling, slices, windows
 
 WINDOW, FANOUT = 20, 2
 _NULL = -(1 << 63)
@@ -247,9 +247,10 @@ def batch_bounds(docs: DataFrame, n: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def deduplicate(docs: DataFrame, width: int = WINDOW, batches: int = 3, index: Index | None = None, text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each document (doc_id, text; other columns are ignored); with ``text``,
-    kept_text too: the kept words joined by one space.
+def deduplicate(docs: DataFrame, width: int = WINDOW, batches: int = 3, index: Index | None = None, rows: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each document (doc_id, text; other columns are ignored). With ``rows``, the
+    rows of ``docs`` instead, all columns as they are but for the text (kept words joined by one space where any
+    went, else untouched) and n_chars, where there is one.
 
     A word goes if it lies under a window of ``width`` words that also starts earlier: under a smaller doc_id, or earlier in
     its own text. Batches are ranges of doc_id in ascending order. With an ``index`` of earlier calls, what it holds
@@ -270,9 +271,8 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, batches: int = 3, index: I
             some = some.where((doc_id <= bounds[k]) | doc_id.isNull() if k == 0 else doc_id <= bounds[k])
         # an index of our own has no reader after the last batch
         seen = own.match(some, keep=index is not None or k < len(bounds))
-        seen = seen.select(F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("_id"), "seen").dropDuplicates(["_id", "seen"])
-        seen = seen.groupBy("_id").agg(F.collect_list("seen").alias("seen"))
-        pruned, _ = settle(prune(some, seen, own.width, text), "pruned")
+        seen = seen.groupBy("doc_id").agg(F.collect_set("seen").alias("_seen")).select(F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("_seen_id"), "_seen")
+        pruned, _ = settle((prune_rows if rows else prune)(some, seen, own.width), "pruned")
         found.append(pruned)
         gc.collect()  # so that Spark removes the shuffle files of the batch that is done
         spark._jvm.System.gc()
@@ -284,23 +284,51 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, batches: int = 3, index: I
     return out
 
 
-def prune(docs: DataFrame, seen: DataFrame, width: int, text: bool) -> DataFrame:
-    """Removes the words of ``docs`` under windows of ``seen`` (_id, list of packed hashes) or repeated in their text."""
+def _seen_lists(column: pa.Array) -> list[bytes | None]:
+    return [None if not x else x[0] if len(x) == 1 else np.sort(np.frombuffer(b"".join(x), np.uint64)).tobytes() for x in column.to_pylist()]
+
+
+def _kept(words: Words, gone: np.ndarray, d: int) -> bytes:
+    a, b = words.bounds[d], words.bounds[d + 1]
+    return b" ".join(map(words.vocabulary.__getitem__, words.ids[a:b][~gone[a:b]].tolist()))
+
+
+def _removed(words: Words, gone: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(gone)])[words.bounds])
+
+
+def prune(docs: DataFrame, seen: DataFrame, width: int) -> DataFrame:
+    """The digest of ``docs`` without words under windows of ``seen`` (_seen_id, _seen: packed hashes) or repeated in their text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(seen, rows["doc_id"].eqNullSafe(seen["_id"]), "left").select("doc_id", "text", "seen")
+    rows = rows.join(seen, rows["doc_id"].eqNullSafe(seen["_seen_id"]), "left").drop("_seen_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column("text"))
-            lists = [b"".join(x) if x and len(x) == 1 else np.sort(np.frombuffer(b"".join(x), np.uint64)).tobytes() if x else None for x in part.column("seen").to_pylist()]
-            gone = removed_words(words, lists, width)
-            kept = []
-            for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-                kept.append(b" ".join(map(words.vocabulary.__getitem__, words.ids[a:b][~gone[a:b]].tolist())))
-            n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.bounds])
-            columns = [part.column("doc_id"), pa.array(words.lengths), pa.array(n_removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            if text:
-                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text)
+            gone = removed_words(words, _seen_lists(part.column("_seen")), width)
+            kept = [hashlib.sha256(_kept(words, gone, d)).hexdigest() for d in range(words.n)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.lengths), pa.array(_removed(words, gone)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def prune_rows(docs: DataFrame, seen: DataFrame, width: int) -> DataFrame:
+    """prune(), with the rows of ``docs`` in place of their digest."""
+    rows = docs.join(seen, docs["doc_id"].cast("long").eqNullSafe(seen["_seen_id"]), "left").drop("_seen_id")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            text = part.column("text")
+            words = Words(text)
+            gone = removed_words(words, _seen_lists(part.column("_seen")), width)
+            fewer = _removed(words, gone) > 0
+            new = [_kept(words, gone, d) if fewer[d] else t for d, t in enumerate(column_bytes(text))]
+            new = pa.array(new, pa.binary()).cast(pa.string())
+            columns = {n: part.column(n) for n in names} | {"text": new}
+            if "n_chars" in names:
+                had = columns["n_chars"]
+                columns["n_chars"] = pa.compute.if_else(pa.array(fewer), pa.compute.utf8_length(new).cast(had.type), had)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return rows.mapInArrow(run, docs.schema)
