@@ -39,8 +39,8 @@ def to_planes(ids: np.ndarray, planes: str, width: int) -> list[bytes]:
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if planes == "bytes":
         return [raw[:, b].tobytes() for b in range(width)]
-    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :width]
-    return [row.tobytes() for row in np.packbits(bits.T, axis=1, bitorder="little")]
+    columns = [np.ascontiguousarray(raw[:, k]) for k in range(-(-width // 8))]
+    return [np.packbits(columns[b // 8] & np.uint8(1 << b % 8), bitorder="little").tobytes() for b in range(width)]
 
 
 def from_planes(parts: list[bytes], planes: str, n: int) -> np.ndarray:
@@ -50,12 +50,10 @@ def from_planes(parts: list[bytes], planes: str, n: int) -> np.ndarray:
         for b, part in enumerate(parts):
             raw[:, b] = np.frombuffer(part, np.uint8)
         return raw.reshape(-1).view("<u4").copy()
-    if not parts:
-        return np.zeros(n, np.uint32)
-    rows = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, : len(parts)] = np.unpackbits(rows, axis=1, count=n, bitorder="little").T
-    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4").copy()
+    raw = np.zeros((4, n), np.uint8)
+    for b, part in enumerate(parts):
+        raw[b // 8] |= np.unpackbits(np.frombuffer(part, np.uint8), count=n, bitorder="little") << np.uint8(b % 8)
+    return np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
 
 
 class Writer:

@@ -57,7 +57,7 @@ class Encoder:
         Words of plain Latin characters are cut by the vocabulary's own pattern and each distinct cut goes to its
         merges; all others take the library's whole path."""
         made: list[bytes] = []
-        if len(self.pieces) > 250_000:
+        if len(self.pieces) > 500_000:
             self.pieces = {}
         pieces, merge = self.pieces, self.tokenizer.model.tokenize
         for word in words:
@@ -94,6 +94,11 @@ class Encoder:
         ends = np.flatnonzero(marks == len(own))
         return ids, np.concatenate([[0], np.cumsum(n)[ends]]).astype(np.int64)
 
+    def lengths(self, words: Words) -> np.ndarray:
+        """The number of ids of each text, end id included."""
+        size = np.fromiter(map(len, self.table.of(words.vocabulary)), np.int64, len(words.vocabulary)) // 4
+        return (np.bincount(words.doc, size[words.ids], words.n) if len(words.ids) else np.zeros(words.n)).astype(np.int64) + 1
+
 
 @lru_cache(maxsize=4)
 def encoder(name: str = VOCABULARY, end: int = END_ID) -> Encoder:

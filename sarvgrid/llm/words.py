@@ -140,7 +140,7 @@ class WordTable:
     memory stays bounded and results don't change.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list], most: int = 250_000):
+    def __init__(self, make: Callable[[list[bytes]], list], most: int = 500_000):
         self.make, self.most, self.known = make, most, {}
 
     def of(self, vocabulary: list[bytes]) -> list:
