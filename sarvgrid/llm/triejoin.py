@@ -41,7 +41,7 @@ _MANY = np.uint32(0xFFFFFFFF)
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one binary: byte planes of each, compressed together."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", x.dtype.str[1:].encode(), len(x)) for x in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays))
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
