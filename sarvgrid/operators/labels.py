@@ -136,7 +136,9 @@ def evaluate(gold: DataFrame, predictions: DataFrame, least: int = MIN_EXAMPLES)
     gold: id, source_kind, domain, strata, tokens, ezafe. predictions: id, pred. Tokens that can't be labelled don't count, nor do examples
     without others. Slices of fewer than ``least`` examples say so and have no numbers.
     """
-    rows = masked(gold.join(predictions, "id", "left")).where(F.size("cells") > 0)
+    # an example without predictions has none of the right length; as a null it would be filtered out before that is seen
+    both = gold.join(predictions, "id", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<int>")))
+    rows = masked(both).where(F.size("cells") > 0)
     tags = F.when(F.size("strata") > 0, F.col("strata")).otherwise(F.array(F.lit("(none)")))
     group = F.when(F.col("source_kind") == "wiki", "wikipedia").otherwise("commercial")
     dims = F.concat(F.array(F.struct(F.lit("overall").alias("dim"), F.lit("all").alias("key")), F.struct(F.lit("source").alias("dim"), group.alias("key")), F.struct(F.lit("source").alias("dim"), F.concat(F.lit("domain:"), "domain").alias("key"))), F.transform(tags, lambda t: F.struct(F.lit("stratum").alias("dim"), t.alias("key"))))
