@@ -478,3 +478,30 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert got.count() == docs.count() and got.where("rate < 0.99 or copies < 1").count() == 0
     assert mixing.rates(table, table.where("false")).where("abs(rate - 1) > 0.01").count() == 0
     assert mixing.rates(empty, empty.select("doc_id", "text", F.col("lang").alias("domain"))).collect() == []
+
+
+def test_words_of_slices():
+    """Rows past the first slice of a batch: their text starts inside the batch's buffer."""
+    from sarvgrid.llm.words import slices
+
+    rng = random.Random(9)
+    texts = [prose(rng, 40).upper() if k % 9 else None for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = []
+    for part in slices([batch], "text", 2000):
+        values, bounds = shingle_sets(Words(part.column("text"), lower=True), 3)
+        got += [set(values[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    whole, bounds = shingle_sets(Words(pa.array(texts), lower=True), 3)
+    assert got == [set(whole[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])] and len(got) == 300
+
+
+def test_jaccard_join_over_many_slices(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [prose(rng, 60) for _ in range(150)]
+    texts += [" ".join("changed" if i == 30 else w for i, w in enumerate(t.split())) for t in texts[:50]] + texts[50:90]
+    monkeypatch.setattr(triejoin, "SLICE", 3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    sets, links = brute_links(texts, 3, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in triejoin.jaccard_classes(docs, 3, 80).collect()}
+    component = smallest(list(range(len(texts))), links)
+    assert got == {k: (len(sets[k]), component[k], len(links[k])) for k in range(len(texts))}
