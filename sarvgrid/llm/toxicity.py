@@ -14,15 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, WordTable, slices
+from .store import discard, settle
+from .words import Words, WordTable, mix, slices
 
 #: Characters cut from both ends of a word (fixed values).
 EDGES = ".,;:!?\"'`()[]{}<>«»“”„‘’‚‹›…|*#%&$-–—_/\\=+~^"
 #: Marks that open or close quoted speech, words that report it, and second persons (fixed values).
-QUOTES = "\"«»“”„‘‹›"
+QUOTES = frozenset("\"«»“”„‘‹›")
 REPORTING = frozenset("said says say saying called calls wrote writes quoted quote quotes cited cites claimed reported reports told tells dit dits écrit appelé cité sagte sagt schrieb nannte zitierte zitat dijo dice escribió llamó citó cita".split())
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 CONTEXT = 8
@@ -118,9 +120,9 @@ FEATURES = 8
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
-    #: Log odds of (term, edits), learned; others get ``weak`` by edits.
+    #: Log odds of (term, edits), learned. A misspelling never seen has this part of its term's, by edits.
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
-    weak: tuple[float, float, float] = (1.0, 0.3, 0.1)
+    part: tuple[float, float, float] = (1.0, 0.6, 0.35)
     beta: np.ndarray = field(default_factory=lambda: np.concatenate([[-4.0], np.zeros(FEATURES)]))
 
 
@@ -140,12 +142,13 @@ class Matcher:
             raw = w.decode("utf-8", "replace")
             p = raw.lower().strip(EDGES)
             hit = self.automaton.find(p) if p else None
-            flags = any(c in QUOTES for c in raw) | 2 * (p in REPORTING) | 4 * (p in SECOND)
+            flags = (not QUOTES.isdisjoint(raw)) | 2 * (p in REPORTING) | 4 * (p in SECOND)
             out.append((*hit, flags) if hit else (-1, 0, flags))
         return out
 
     def weight(self, term: int, edits: int) -> float:
-        return self.model.weights.get((term, edits), self.model.weak[min(edits, 2)])
+        known = self.model.weights
+        return known[term, edits] if (term, edits) in known else self.model.part[min(edits, 2)] * known.get((term, 0), 1.0)
 
     def features(self, words: Words) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """A row for each document, and its hits as (term, edits)."""
@@ -200,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
     """Learns from ``labels`` (doc_id, toxic: 0 or 1) that match ``docs``.
 
     Bounded: about ``most`` labels, those of smallest hash of doc_id. Of their words the driver gathers those that at least
-    ``least_documents`` toxic documents hold and that pass ``log_odds``, then a row of eight numbers for each label.
+    ``least_documents`` toxic documents hold, in as many contexts, and that pass ``log_odds``, then a row of eight numbers for each label.
     Without both classes, nothing is learned and every score is low.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -214,35 +217,49 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
         sizes = [0, 0]
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], names=["word", "clean", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(total, pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2)), pa.array(np.array([v[2] for v in total.values()], np.uint64).view(np.int64))], names=["word", "clean", "toxic", "contexts"])
 
         for part in slices(batches, "text"):
             words, toxic = Words(part.column("text")), part.column("toxic").to_pylist()
             forms = [plain(w) for w in words.vocabulary]
+            own = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
+            near = own[words.ids] if len(forms) else own
+            # a word's neighbours, as one of 64 bits: copies of a text show a word in one context, however many they are
+            around = (mix(np.roll(near, 1) * np.uint64(3) + np.roll(near, -1)) & np.uint64(63)).tolist()
             for d, y in enumerate(toxic):
                 sizes[y] += 1
-                for form in {forms[i] for i in words.ids[words.bounds[d] : words.bounds[d + 1]].tolist()}:
+                a, z = words.bounds[d], words.bounds[d + 1]
+                ids = words.ids[a:z].tolist()
+                for form in {forms[i] for i in ids}:
                     if 3 <= len(form) <= 40:
-                        total.setdefault(form, [0, 0])[y] += 1
+                        total.setdefault(form, [0, 0, 0])[y] += 1
+                if y:
+                    for i, bit in zip(ids, around[a:z], strict=True):
+                        if forms[i] in total:
+                            total[forms[i]][2] |= 1 << bit
             if len(total) > 300_000:
                 yield out()
                 total.clear()
-        total[""] = sizes  # the number of documents
+        total[""] = [*sizes, 0]  # the number of documents
         yield out()
 
-    counted = rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(count, "word string, clean long, toxic long, contexts long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
+    counted, path = settle(counted, "toxic-words")
     # a stem needs the rarer words too: they are summed by their beginnings
-    stems = counted.where("word <> ''").select("word", "clean", "toxic", F.explode(F.sequence(F.lit(STEM), F.lit(STEM + 3))).alias("n")).where(F.length("word") > F.col("n"))
-    stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > 0).alias("words"))
+    stems = counted.where("word <> ''").select("word", "clean", "toxic", "contexts", F.explode(F.sequence(F.lit(STEM), F.lit(STEM + 3))).alias("n")).where(F.length("word") > F.col("n"))
+    stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"), F.count_if(F.col("toxic") > 0).alias("words"))
     total = counted.where("word = ''").first()
     if total is None or not total.clean or not total.toxic:
         return Model()
     odds = F.log((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.log((F.col("clean") + 0.5) / (total.clean + 1))
-    enough = (F.col("toxic") >= least_documents) & (odds >= log_odds)
+    # and not by chance: three standard errors above none
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    enough = (odds >= 3 * error) & (F.col("toxic") >= least_documents) & (F.bit_count("contexts") >= least_documents) & (odds >= log_odds)
     heads = sorted(r.word for r in stems.where(enough & (F.col("words") >= STEM_WORDS) & (F.col("toxic") >= 4 * least_documents) & (F.col("clean") <= 0.02 * F.col("toxic"))).collect())
     heads = [s for s in heads if not any(s != t and s.startswith(t) for t in heads)]
     words = sorted(r.word for r in counted.where(enough & (F.col("word") != "")).collect())
     words = [w for w in words if not any(w.startswith(s) for s in heads)]
+    discard(docs.sparkSession, path)
     model = Model(words, heads)
     got = rows.mapInArrow(_measure(model, "toxic"), "x array<double>, hits array<int>, toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
@@ -251,7 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
         for code in set(hits):
             seen.setdefault(code, [0, 0])[label] += 1
     n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    model.weights = {(c // 4, c % 4): float(np.log((b + 0.1) / (n1 + 1)) - np.log((a + 0.1) / (n0 + 1))) * min(1.0, (a + b) / 5) for c, (a, b) in seen.items()}
+    odds_of = {(c // 4, c % 4): (float(np.log((b + 0.1) / (n1 + 1)) - np.log((a + 0.1) / (n0 + 1))), a + b) for c, (a, b) in seen.items()}
+    exact = {t: v * min(1.0, n / 5) for (t, e), (v, n) in odds_of.items() if e == 0}
+    # few sightings of a misspelling count along with what its term lets expect
+    model.weights = {(t, e): exact[t] if e == 0 else (v * n + 2 * model.part[min(e, 2)] * exact.get(t, 1.0)) / (n + 2) for (t, e), (v, n) in odds_of.items()}
     got = rows.mapInArrow(_measure(model, "toxic"), "x array<double>, hits array<int>, toxic int").toPandas()
     model.beta = fit_logistic(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["toxic"].to_numpy(float))
     return model
