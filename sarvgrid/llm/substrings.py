@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .bitplanes import open_fs
 from .store import discard, fresh_path, parts, settle
-from .triejoin import SLICE, _gaps, pack_arrays, unpack_arrays
-from .words import Words, column_bytes, rolling, slices, windows
+from .triejoin import _gaps, pack_arrays, slice_bytes, unpack_arrays
+from .words import Words, column_bytes, release, rolling, slices, windows
 
 WINDOW, FANOUT = 20, 2
 _NULL = -(1 << 63)
@@ -70,9 +70,6 @@ class Index:
     def create(cls, spark: SparkSession, folder: str | None = None, width: int = WINDOW, fanout: int = FANOUT, buckets: int | None = None) -> Index:
         return cls(spark, folder or fresh_path(spark, "fingerprints"), buckets or parts(spark), width, fanout)
 
-    def _files(self, bucket: int) -> list[str]:
-        return [f"{self.folder}/{name}/{bucket:05d}.run" for _, name in self.runs]
-
     def match(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """(doc_id, seen): packed hashes of the windows of each document of a new batch that occur in the index or in the batch
         under a smaller doc_id, a null one being the smallest. ``keep``: the batch becomes a run."""
@@ -87,7 +84,7 @@ class Index:
             from pyspark import TaskContext
 
             task, ordinal = TaskContext.get().partitionId(), 0
-            for part in slices(batches, "text", SLICE):
+            for part in slices(batches, "text", slice_bytes(buckets)):
                 ids = part.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)
                 part, ids = part.take(pa.array(np.argsort(ids, kind="stable"))), np.sort(ids)
                 doc, _, value, check = fingerprints(Words(part.column("text")), width)
@@ -108,6 +105,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "slice", "kind", "payload"])
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
+            release()
             bucket = key[0].as_py()
             rows = list(zip(*(table.column(c).to_pylist() for c in ("slice", "kind", "payload")), strict=True))
             out = [(s, 1, p) for s, k, p in rows if k == 1]
@@ -141,6 +139,7 @@ class Index:
             return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["slice", "kind", "payload"])
 
         def deal(table: pa.Table) -> pa.Table:
+            release()
             ids = None
             value, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
             for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):

@@ -57,7 +57,7 @@ class Encoder:
         Words of plain Latin characters are cut by the vocabulary's own pattern and each distinct cut goes to its
         merges; all others take the library's whole path."""
         made: list[bytes] = []
-        if len(self.pieces) > 500_000:
+        if len(self.pieces) > 350_000:
             self.pieces = {}
         pieces, merge = self.pieces, self.tokenizer.model.tokenize
         for word in words:

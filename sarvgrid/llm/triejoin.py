@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import parts, settle
-from .words import Words, shingle_sets, slices
+from .words import Words, release, shingle_sets, slices
 
-#: Bytes of text in a slice whose shingles are counted together, and sets in a block of a group.
-SLICE, BLOCK = 8 << 20, 4096
+#: Bytes of text in the smallest slice whose shingles are counted together, and sets in a block of a group.
+SLICE, BLOCK = 4 << 20, 4096
 _MANY = np.uint32(0xFFFFFFFF)
 
 
@@ -57,6 +57,12 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def slice_bytes(buckets: int) -> int:
+    """Bytes of text in a slice. More hash ranges take larger slices, within a worker's memory, so that what a slice sends to
+    a range stays worth a row."""
+    return min(max(SLICE, buckets * (8 << 10)), 32 << 20)
+
+
 def _gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=np.uint64(0))
 
@@ -71,7 +77,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
         from pyspark import TaskContext
 
         task, ordinal = TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", slice_bytes(buckets)):
             values, bounds = shingle_sets(Words(part.column("text"), lower=True), width)
             doc_ids = part.column("doc_id")
             n = np.diff(bounds)
@@ -98,6 +104,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "slice", "kind", "payload"])
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         rows = [(s, k, p) for s, k, p in zip(*(table.column(c).to_pylist() for c in ("slice", "kind", "payload")), strict=True)]
         out = [(s, 1, p) for s, k, p in rows if k == 1]
         sent = [(s, *unpack_arrays(p)) for s, k, p in rows if k == 0]
@@ -122,6 +129,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["slice", "kind", "payload"])
 
     def settle_sets(table: pa.Table) -> pa.Table:
+        release()
         own, replies = None, []
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if kind == 1:
