@@ -108,7 +108,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def discriminant(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.02) -> Model:
+def discriminant(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float = 0.7, to_identity: float = 0.02) -> Model:
     """The model of the classes' counts, sums and sums of outer products."""
     p = sums.shape[1]
     total = max(1.0, n.sum())
