@@ -28,7 +28,7 @@ QUOTES = frozenset("\"«»“”„‘‹›")
 REPORTING = frozenset("said says say saying called calls wrote writes quoted quote quotes cited cites claimed reported reports told tells dit dits écrit appelé cité sagte sagt schrieb nannte zitierte zitat dijo dice escribió llamó citó cita".split())
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 CONTEXT = 8
-#: Length of a stem at least, and the different words that must share it.
+#: Length of a stem at least, and the different words that must share it; misspellings of one word are not different.
 STEM, STEM_WORDS = 4, 4
 
 
@@ -41,32 +41,39 @@ class Automaton:
     """The Levenshtein automaton of all terms at once, over their trie.
 
     A state is a set of (trie node, edits); steps are remembered, so the automaton becomes deterministic where words lead.
+    A stem's trie node leads to a sink, a node without children that any ending stays in, so stems take nothing from the
+    words that begin with them. ``slack`` is added to the edits allowed for each word.
     """
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.terms = [*words, *stems]
+    def __init__(self, words: list[str], stems: list[str], slack: int = 0):
+        self.terms, self.n_words = [*words, *stems], len(words)
+        self.limit = [allowed(t, k >= len(words)) + (slack if k < len(words) else 0) for k, t in enumerate(self.terms)]
         self.child: list[dict[str, int]] = [{}]
-        self.term, self.reach, self.stem = [-1], [0], [False]
+        self.term, self.reach, self.sink = [-1], [0], [-1]
         for k, term in enumerate(self.terms):
-            stem, at = k >= len(words), 0
-            self.reach[0] = max(self.reach[0], allowed(term, stem))
+            at = 0
+            self.reach[0] = max(self.reach[0], self.limit[k])
             for c in term:
                 if c not in self.child[at]:
-                    self.child[at][c] = len(self.child)
-                    self.child.append({})
-                    self.term.append(-1)
-                    self.reach.append(0)
-                    self.stem.append(False)
+                    self.child[at][c] = self._node()
                 at = self.child[at][c]
-                self.reach[at] = max(self.reach[at], allowed(term, stem))
-            self.term[at], self.stem[at] = k, stem or self.stem[at]
-        self.limit = [allowed(t, k >= len(words)) for k, t in enumerate(self.terms)]
+                self.reach[at] = max(self.reach[at], self.limit[k])
+            if k >= len(words):
+                self.sink[at] = at = self._node()
+            self.term[at] = k
         self.number: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.best: list[tuple[int, int] | None] = []
         self.start = self._state({(0, 0)})
 
+    def _node(self) -> int:
+        self.child.append({})
+        self.term.append(-1)
+        self.reach.append(0)
+        self.sink.append(-1)
+        return len(self.child) - 1
+
     def _state(self, found: set[tuple[int, int]]) -> int:
         """Closes a set under leaving out characters of a term; keeps the least edits at each node. The empty one is -1."""
         todo, least = list(found), {}
@@ -75,6 +82,8 @@ class Automaton:
             if e <= self.reach[node] and least.get(node, 99) > e:
                 least[node] = e
                 todo += [(c, e + 1) for c in self.child[node].values()]
+                if self.sink[node] >= 0 and e == 0:
+                    todo.append((self.sink[node], 0))
         if not least:
             return -1
         state = frozenset(least.items())
@@ -83,21 +92,23 @@ class Automaton:
             self.states.append(state)
             self.steps.append({})
             hits = [(e, self.term[n]) for n, e in state if self.term[n] >= 0 and e <= self.limit[self.term[n]]]
+            # a stem is met only where no word is
+            hits = [x for x in hits if x[1] < self.n_words] or hits
             self.best.append((min(hits)[1], min(hits)[0]) if hits else None)
         return self.number[state]
 
     def _step(self, state: int, char: str) -> int:
         found: set[tuple[int, int]] = set()
         for node, e in self.states[state]:
-            if self.stem[node] and e == 0:
-                found.add((node, 0))  # any ending
+            if self.term[node] >= self.n_words:
+                found.add((node, 0))  # a sink: any ending
             found.add((node, e + 1))
             for c, to in self.child[node].items():
                 found.add((to, e if c == char else e + 1))
         return self._state(found)
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the closest term within its limit; ties go to the first term."""
+        """(term, edits) of the closest word within its limit, or else of a stem; ties go to the first term."""
         if len(self.states) > 100_000:
             self.number, self.states, self.steps, self.best = {}, [], [], []
             self.start = self._state({(0, 0)})
@@ -130,6 +141,20 @@ def plain(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower().strip(EDGES)
 
 
+def different(words: list[str], most: int) -> int:
+    """How many of ``words`` (the commonest first) are no near-misspellings of an earlier one, up to ``most``.
+
+    One edit more than the automaton allows: two misspellings of one word are further apart than each is from the word.
+    """
+    found: list[str] = []
+    own = Automaton(found, [], 1)
+    for w in words:
+        if len(found) < most and own.find(w) is None:
+            found.append(w)
+            own = Automaton(found, [], 1)
+    return len(found)
+
+
 class Matcher:
     def __init__(self, model: Model):
         self.model, self.automaton = model, Automaton(model.words, model.stems)
@@ -255,10 +280,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
     # and not by chance: three standard errors above none
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     enough = (odds >= 3 * error) & (F.col("toxic") >= least_documents) & (F.bit_count("contexts") >= least_documents) & (odds >= log_odds)
-    heads = sorted(r.word for r in stems.where(enough & (F.col("words") >= STEM_WORDS) & (F.col("toxic") >= 4 * least_documents) & (F.col("clean") <= 0.02 * F.col("toxic"))).collect())
+    heads = [r.word for r in stems.where(enough & (F.col("words") >= STEM_WORDS) & (F.col("toxic") >= 4 * least_documents) & (F.col("clean") <= 0.02 * F.col("toxic"))).collect()]
+
+    def families(table: pa.Table) -> pa.Table:
+        order = sorted(zip((-n for n in table.column("toxic").to_pylist()), table.column("word").to_pylist(), strict=True))
+        return pa.table({"word": table.column("head").slice(0, 1), "words": pa.array([different([w for _, w in order], STEM_WORDS)], pa.int64())})
+
+    if heads:
+        under = counted.where((F.col("word") != "") & (F.col("toxic") > 0)).select("word", "toxic", F.explode(F.sequence(F.lit(STEM), F.lit(STEM + 3))).alias("n")).where(F.length("word") > F.col("n"))
+        under = under.select(F.expr("substring(word, 1, n)").alias("head"), "word", "toxic").where(F.col("head").isin(heads))
+        heads = sorted(r.word for r in under.groupBy("head").applyInArrow(families, "word string, words long").where(F.col("words") >= STEM_WORDS).collect())
     heads = [s for s in heads if not any(s != t and s.startswith(t) for t in heads)]
     words = sorted(r.word for r in counted.where(enough & (F.col("word") != "")).collect())
-    words = [w for w in words if not any(w.startswith(s) for s in heads)]
     discard(docs.sparkSession, path)
     model = Model(words, heads)
     got = rows.mapInArrow(_measure(model, "toxic"), "x array<double>, hits array<int>, toxic int").toPandas()

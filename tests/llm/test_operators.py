@@ -427,6 +427,33 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels)).collect() == []
 
 
+def test_stems_leave_words_their_edits(spark):
+    own = toxicity.Automaton(["grubby", "grub"], ["grub", "stem"])
+    # a typo in the stem's own letters, a word that equals the stem, and endings that a word's path must not take over
+    assert own.find("gruby") == (0, 1) and own.find("grabby") == (0, 1) and own.find("grab") == (1, 1)
+    assert own.find("grubworm") == (2, 0) and own.find("grubxxxxby") == (2, 0) and own.find("stemming") == (3, 0) and own.find("grxb") == (1, 1)
+
+    def learn(bad):
+        rng = random.Random(12)
+        rows = []
+        for k in range(600):
+            w = prose(rng, 30).split()
+            if k % 2:
+                w.insert(rng.randrange(len(w)), bad[k // 2 % len(bad)])
+            rows.append((k, " ".join(w)))
+        return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int"))
+
+    family = ["grubstake", "grubhunter", "grubworm", "grubbing"]
+    model = learn(family)
+    found = toxicity.Automaton(model.words, model.stems)
+    assert model.stems == ["grub"] and set(family) <= {*model.words}
+    assert found.find("grabworm") == (found.terms.index("grubworm"), 1) and found.find("gruxhxnter") == (found.terms.index("grubhunter"), 2)
+    # misspellings of one term are no family
+    assert toxicity.different(["clown", "cloun", "clowm", "clowwn", "clowns"], 4) == 1 and toxicity.different(family, 4) == 4
+    model = learn(["clown"] * 12 + ["clowm", "clowwn", "clowne", "clwon", "clowb", "clow"])
+    assert model.stems == [] and "clown" in model.words
+
+
 def brute_nearest(rows, asked, k=10):
     out = {}
     for q, v in asked:
