@@ -309,6 +309,41 @@ def test_fertility_figures():
     assert [fertility.SCRIPTS[k] for k in figures["script"]] == ["LATIN", "CJK", "NONE"]
 
 
+CLEAN = {
+    "LATIN": ["Every person who came to the small town by the river that summer remembered the old bridge, the quiet market and the long evenings when neighbours sat together outside and talked about the weather."],
+    "GREEK": ["Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.", "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας και μία από τις παλαιότερες πόλεις του κόσμου. Πολλοί επισκέπτες έρχονται κάθε χρόνο για να δουν τα μνημεία, τα μουσεία και τις αγορές της."],
+    "CYRILLIC": ["Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.", "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.", "Всички хора се раждат свободни и равни по достойнство и права. Те са надарени с разум и съвест и следва да се отнасят помежду си в дух на братство."],
+    "ARABIC": ["يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان دون أي تمييز.", "تمام افراد بشر آزاد به دنیا می آیند و از لحاظ حیثیت و حقوق با هم برابرند. همه دارای عقل و وجدان هستند و باید نسبت به یکدیگر با روح برادری رفتار کنند.", "تمام انسان آزاد اور حقوق و عزت کے اعتبار سے برابر پیدا ہوئے ہیں۔ انہیں ضمیر اور عقل ودیعت ہوئی ہے۔ اس لئے انہیں ایک دوسرے کے ساتھ بھائی چارے کا سلوک کرنا چاہئے۔"],
+    "HEBREW": ["כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם זכאי לזכויות ולחירויות שנקבעו בהכרזה זו ללא הפליה כלשהי.", "ירושלים היא עיר הבירה של ישראל ואחת הערים העתיקות בעולם. בכל שנה באים אליה מבקרים רבים כדי לראות את החומות, את השווקים ואת המוזיאונים שלה."],
+    "DEVANAGARI": ["सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।", "सर्व मानवी व्यक्ती जन्मतःच स्वतंत्र आहेत व त्यांना समान प्रतिष्ठा व समान अधिकार आहेत. त्यांना विचारशक्ती व सदसद्विवेकबुद्धी लाभलेली आहे व त्यांनी एकमेकांशी बंधुत्वाच्या भावनेने आचरण करावे."],
+    "HANGUL": ["모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다.", "서울은 대한민국의 수도이며 가장 큰 도시이다. 한강이 도시의 가운데를 흐르고 많은 사람들이 매일 지하철과 버스를 타고 출근한다. 봄에는 꽃이 피고 가을에는 산이 붉게 물든다."],
+    "HIRAGANA": ["すべての 人間は、 生まれながらにして 自由であり、 かつ、 尊厳と 権利とに ついて 平等である。 人間は、 理性と 良心とを 授けられており、 互いに 同胞の 精神を もって 行動しなければ ならない。 わたしは きのう ともだちと いっしょに まちへ いきました。", "むかし むかし ある ところに おじいさんと おばあさんが いました。 おじいさんは やまへ しばかりに、 おばあさんは かわへ せんたくに いきました。 おばあさんが かわで せんたくを していると おおきな ももが ながれて きました。"],
+    "KATAKANA": ["コンピューター ソフトウェア インターネット テレビ ラジオ ホテル レストラン コーヒー ビール ワイン パン ケーキ アメリカ フランス ドイツ イギリス スポーツ サッカー テニス ニュース カメラ バス タクシー エレベーター"],
+    "CJK": ["人人 生 而 自由, 在 尊严 和 权利 上 一律 平等。 他们 赋有 理性 和 良心, 并 应 以 兄弟 关系 的 精神 相 对待。 人人 有 资格 享有 本 宣言 所 载 的 一切 权利 和 自由。", "北京 是 中国 的 首都, 也是 世界 上 最 古老 的 城市 之一。 每年 有 很多 人 来 这里 参观 故宫 和 长城。 春天 的 时候 公园 里 开 满 了 花。"],
+    "THAI": ["มนุษย์ ทั้งหลาย เกิด มา มี อิสระ และ เสมอภาค กัน ใน เกียรติศักดิ์ และ สิทธิ ต่าง มี เหตุผล และ มโนธรรม และ ควร ปฏิบัติ ต่อ กัน ด้วย เจตนารมณ์ แห่ง ภราดรภาพ ทุกคน ย่อม มี สิทธิ และ อิสรภาพ", "กรุงเทพมหานคร เป็น เมืองหลวง และ เมือง ที่ ใหญ่ ที่สุด ของ ประเทศไทย ทุกปี มี นักท่องเที่ยว จำนวนมาก เดินทาง มา ชม วัด ตลาด และ พิพิธภัณฑ์ อาหาร ของ ที่นี่ มี ชื่อเสียง ไป ทั่วโลก"],
+}
+#: Letters of the scripts whose fertility is judged.
+LETTERS = {
+    "LATIN": "abcdefghijklmnopqrstuvwxyz",
+    "GREEK": "αβγδεζηθικλμνξοπρστυφχψω",
+    "CYRILLIC": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "DEVANAGARI": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    "HANGUL": [chr(c) for c in range(0xac00, 0xd7a4)],
+    "HIRAGANA": [chr(c) for c in range(0x3041, 0x3094)],
+    "CJK": [chr(c) for c in range(0x4e00, 0x9fa6)],
+    "THAI": [chr(c) for c in range(0xe01, 0xe2f)],
+}
+
+
+def test_fertility_tells_clean_text_from_random_letters(spark):
+    rng = random.Random(21)
+    texts = [(k, True, t) for k, ts in CLEAN.items() for t in ts]
+    texts += [(k, False, " ".join("".join(rng.choice(v) for _ in range(rng.randint(2, 9))) for _ in range(n))) for k, v in LETTERS.items() for n in (20, 60, 200, 200)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [(k, got[i].kept) for i, (k, clean, _) in enumerate(texts)] == [(k, clean) for k, clean, _ in texts]
+    assert all(got[i].script == k or (k, got[i].script) == ("HIRAGANA", "CJK") for i, (k, _, _) in enumerate(texts))
+
+
 def test_forward_sums_all_segmentations():
     pieces, table = langid.vocabulary(), langid.piece_table()
     weights = np.random.default_rng(0).random((len(pieces) + 1, 3))
