@@ -23,7 +23,7 @@ from .words import Words, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # where a word begins
-MAX_PIECE = 8
+MAX_PIECE = 16  # the longest piece of the vocabulary, mark included
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -179,7 +179,16 @@ def expected(run: str, pieces: dict[str, int], weights: np.ndarray) -> list[tupl
         alpha[b] += alpha[a] * weights[p]
     for a, b, p in reversed(arcs):
         beta[a] += beta[b] * weights[p]
-    return [(p, alpha[a] * weights[p] * beta[b] / alpha[n]) for a, b, p in arcs] if alpha[n] > 0 else []
+    if alpha[n] > 1e-250:
+        return [(p, alpha[a] * weights[p] * beta[b] / alpha[n]) for a, b, p in arcs]
+    # products leave the range of doubles: the same two passes in logarithms
+    logs = {p: float(np.log(weights[p])) for _, _, p in arcs}
+    alpha, beta = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+    for a, b, p in arcs:
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + logs[p])
+    for a, b, p in reversed(arcs):
+        beta[a] = np.logaddexp(beta[a], beta[b] + logs[p])
+    return [(p, float(np.exp(alpha[a] + logs[p] + beta[b] - alpha[n]))) for a, b, p in arcs]
 
 
 class Model:

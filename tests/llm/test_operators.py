@@ -364,6 +364,17 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.score_runs([longest], pieces, weights.tolist(), 3)).all() and uses
 
 
+def test_pieces_are_the_whole_vocabulary():
+    whole, own = langid.vocabulary(longest=1000), langid.vocabulary()
+    assert set(own) == set(whole) and max(map(len, whole)) <= langid.MAX_PIECE
+    assert {"frequency", langid.MARK + "attempting", langid.MARK + "política"} <= set(own)
+    # the training passes reach them, and no long word of single characters is lost
+    weights = np.array([8.0 ** (len(p) - 1) for p in ["?", *own]])
+    run = langid.MARK + "attempting"
+    assert own[run] in {p for p, _ in langid.expected(run, own, weights / weights.sum())}
+    assert langid.expected("ღ" * 40, own, weights / weights.sum())
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     voc = {"en": "the house over river with water these words".split(), "fr": "le maison rivière avec été deux mots où".split()}
