@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh_path
+from .store import fresh_path, open_fs
 from .tokens import END_ID, VOCABULARY, encoder
 from .words import slices
 
@@ -163,10 +162,6 @@ class Reader:
             held = held[n:]
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-
-
 def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END_ID, planes: str = "bits", width: int = 16, block: int = BLOCK) -> list:
     """Writes the ids of ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order.
 
