@@ -2,15 +2,17 @@
 
 A classifier learned from a labelled table gives each document posterior probabilities of the domains. Rates, how often a
 document is to be used, are the nonnegative least-squares fit of expected domain token totals to their targets:
-minimise sum_d ((sum_i r_i t_i p_id) - b_d)^2 / b_d over r >= 0, starting from r = 1. Projected gradient steps are taken in the
+minimise sum_d ((sum_i r_i t_i p_id) - b_d)^2 / b_d over r >= 0 (over r >= 1 where no document is to go), starting from r = 1. Projected gradient steps are taken in the
 metric of the documents' token counts, where a step at document i is p_i . g with g the scaled residuals: so a rate is a function
 of p_i and of the short list of residuals so far, each step gathers one number a domain, and no rate is ever stored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, settle
+from .store import discard, settle, unused
 from .tokens import VOCABULARY, encoder
-from .words import Words, slices
+from .words import NumberTable, Words, slices
 
 #: Hash buckets of words, and how far posteriors are sharpened: log likelihood a word times this.
 BUCKETS, SHARPNESS = 1 << 14, 12.0
+#: Domains that a model may have: it goes to every worker, and this bounds it to 32 MB.
+MOST_DOMAINS = 256
 
 
 @dataclass
@@ -36,26 +40,30 @@ class Classifier:
 
     def posteriors(self, words: Words) -> np.ndarray:
         """A row for each text; one without words has the priors."""
-        rows = self.weights[buckets(words.vocabulary)] if len(words.vocabulary) else np.zeros((0, len(self.domains)))
+        rows = self.weights[buckets().of(words)[:, 0]]
         total = np.column_stack([np.bincount(words.doc, c[words.ids] if len(words.ids) else None, words.n) for c in rows.T]) if self.domains else np.zeros((words.n, 0))
         log = self.priors + SHARPNESS * total / np.maximum(words.lengths, 1)[:, None]
         p = np.exp(log - log.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def buckets(vocabulary: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.lower().strip(b".,;:!?*#%&$|\"'()")) % BUCKETS for w in vocabulary), np.int64, len(vocabulary))
+@lru_cache(maxsize=1)
+def buckets() -> NumberTable:
+    """The bucket of each word, in one table for each worker process."""
+    return NumberTable(lambda new: np.fromiter((xxhash.xxh3_64_intdigest(w.lower().strip(b".,;:!?*#%&$|\"'()")) % BUCKETS for w in new), np.int64, len(new))[:, None])
 
 
 def train(labelled: DataFrame, most: int = 5_000, smooth: float = 0.5) -> Classifier:
     """Learns from ``labelled`` (doc_id, text, domain); rows without a domain are left out.
 
     Bounded: about ``most`` documents of each domain, those of smallest hash of doc_id. The driver gathers BUCKETS counts a
-    domain. Priors are the domains' shares of all labelled rows.
+    domain. Priors are the domains' shares of all labelled rows. Over MOST_DOMAINS domains are an error.
     """
     rows = labelled.where(F.col("domain").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("domain").cast("string").alias("domain"))
-    sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).limit(MOST_DOMAINS + 1).collect()}
     domains = sorted(sizes)
+    if len(domains) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains: a model of so many would not be small enough to send")
     if not domains:
         return Classifier(["all"], np.zeros(1), np.zeros((BUCKETS, 1)))
     share = F.element_at(F.create_map(*(F.lit(x) for k in domains for x in (k, min(1.0, most / sizes[k])))), F.col("domain"))
@@ -67,7 +75,7 @@ def train(labelled: DataFrame, most: int = 5_000, smooth: float = 0.5) -> Classi
         for part in slices(batches, "text"):
             words = Words(part.column("text"))
             if len(words.ids):
-                at = np.array([index[x] for x in part.column("domain").to_pylist()])[words.doc] * BUCKETS + buckets(words.vocabulary)[words.ids]
+                at = np.array([index[x] for x in part.column("domain").to_pylist()])[words.doc] * BUCKETS + buckets().of(words)[words.ids, 0]
                 total += np.bincount(at, minlength=total.size).reshape(total.shape)
         d, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[d, b])], names=["domain", "bucket", "n"])
@@ -81,24 +89,33 @@ def train(labelled: DataFrame, most: int = 5_000, smooth: float = 0.5) -> Classi
 
 @dataclass
 class Fit:
-    """The steps of the projected gradient: (momentum, step, scaled residuals), and how near the targets they came."""
+    """The steps of the projected gradient: (momentum, step, scaled residuals), and how near the targets they came.
+
+    ``met``: all domains are within the asked share of their targets. Where they can't be met at rates of ``least`` or more, the rates
+    are those of the last step, which come as near as they can.
+    """
 
     domains: list[str]
     steps: list[tuple[float, float, np.ndarray]]
     targets: np.ndarray
     reached: np.ndarray
+    least: float = 0.0
+    met: bool = True
 
-    def rates(self, p: np.ndarray) -> np.ndarray:
+    def last_two(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates after the last step and the one before."""
         now = last = np.ones(len(p))
         for momentum, step, g in self.steps:
             y = now + momentum * (now - last)
-            last, now = now, np.maximum(0.0, y - step * (p @ g))
-        return now
+            last, now = now, np.maximum(self.least, y - step * (p @ g))
+        return now, last
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.last_two(p)[0]
 
     def ahead(self, p: np.ndarray, momentum: float) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and the point that the next step starts from."""
-        now = self.rates(p)
-        last = Fit(self.domains, self.steps[:-1], self.targets, self.reached).rates(p) if self.steps else now
+        now, last = self.last_two(p)
         return now, now + momentum * (now - last)
 
 
@@ -107,7 +124,7 @@ MEMBERS = "doc_id long, n_tokens long, p array<double>"
 
 def memberships(docs: DataFrame, model: Classifier, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens (end id included) and posteriors of each document (doc_id, text; other columns are ignored)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS numbers a domain
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_DOMAINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, model = encoder(vocabulary), sent.value
@@ -119,14 +136,15 @@ def memberships(docs: DataFrame, model: Classifier, vocabulary: str = VOCABULARY
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEMBERS)
 
 
-def fit(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, temper: float = 0.7, grow: bool = True, rounds: int = 30, close: float = 1e-4) -> Fit:
+def fit(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, temper: float = 0.7, grow: bool = True, rounds: int = 60, close: float = 1e-4) -> Fit:
     """Projected gradient with momentum over ``members``.
 
     ``targets`` are weights of the domains; by default the expected shares to the power ``temper``. Their total is that of the
-    corpus, or with ``grow`` the least at which no domain has to shrink. Each round is one aggregation of a number a
-    domain; it ends when all domains are within ``close`` of their targets.
+    corpus, or with ``grow`` the least at which no domain has to shrink; then no document goes either: rates are 1 or more. Each
+    round is one aggregation of a number a domain; it ends when all domains are within ``close`` of their targets, or when rounds
+    no longer change the totals. If they still did at the last round, a warning says so.
     """
-    k = len(domains)
+    k, least = len(domains), float(grow)
 
     def gather(state: Fit, momentum: float) -> np.ndarray:
         """Expected token totals at the rates and at the next starting point, and the sum of t p p'."""
@@ -147,7 +165,7 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float] | None
             total[r["at"]] = r["v"]
         return total.reshape(2 + k, k)
 
-    state = Fit(domains, [], np.ones(k), np.ones(k))
+    state = Fit(domains, [], np.ones(k), np.ones(k), least)
     first = gather(state, 0.0)
     have = np.maximum(first[0], 1e-9)
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains]) if targets else (have / have.sum()) ** temper
@@ -162,15 +180,22 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float] | None
     scale = np.maximum(goal, 1e-3 * goal.max())
     step = 1.0 / max(1e-12, float(np.linalg.eigvalsh(first[2:] / np.sqrt(np.outer(scale, scale)))[-1]))
     t, momentum, now, ahead = 1.0, 0.0, first[0], first[1]
+    far, still = np.inf, False
     for _ in range(rounds):
-        if (abs(now - goal) <= close * scale).all():
+        far = float((abs(now - goal) / scale).max())
+        if far <= close or still:
             break
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         # this step starts from the point whose totals are `ahead`
-        state = Fit(domains, [*state.steps, (momentum, step, (ahead - goal) / scale)], goal, now)
+        state, before = Fit(domains, [*state.steps, (momentum, step, (ahead - goal) / scale)], goal, now, least), now
         momentum, t = (t - 1) / t2, t2
         now, ahead = gather(state, momentum)[:2]
-    return Fit(domains, state.steps, goal, now)
+        still = bool((abs(now - before) <= 0.01 * close * scale).all())
+    else:
+        far = float((abs(now - goal) / scale).max())
+        if far > close:
+            warnings.warn(f"mixing: after {rounds} rounds a domain is still {far:.2g} of its target away from it", stacklevel=2)
+    return Fit(domains, state.steps, goal, now, least, far <= close)
 
 
 RESULT = "doc_id long, n_tokens long, domain string, posterior double, rate double"
@@ -180,11 +205,12 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     """doc_id, n_tokens, domain (likeliest), posterior, rate and copies of each document (doc_id, text).
 
     copies is the rate rounded down or up by a fixed hash of doc_id, so that its mean is the rate. A null or empty text has the
-    priors of the domains and one token, the end id. Repeated rows have equal rates; null doc_ids hash alike. Without labelled
-    rows there is one domain and every rate is 1. An empty table gives no rows.
+    priors of the domains and one token, the end id; texts of any length count whole. Repeated rows have equal rates; null doc_ids
+    hash alike. Posteriors that tie go to the domain that sorts first. Without labelled rows there is one domain and every
+    rate is 1. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = train(labelled)
-    members, _ = settle(memberships(docs, model), "members")
+    members, _ = settle(memberships(docs, model), "members")  # the result reads it again
     found = fit(members, model.domains, targets, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +228,24 @@ def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` as often as their copies say, columns as they are. The last pass works the rates out from the text
-    again, which is cheaper than a shuffle of all texts."""
+    """The rows of ``docs`` (doc_id, text) as often as their copies say, all columns as they are, of whatever names.
+
+    By default rates are 1 or more, so every row stays; with ``grow=False`` those of 0 copies go. Copies of a row are alike in all
+    columns. Nulls, empty and long texts, ties, repeated rows and empty tables are as in rates(). The last pass works the
+    rates out from the text again, which is cheaper than a shuffle of all texts.
+    """
     model = train(labelled)
     members, path = settle(memberships(docs, model), "members")
     found = fit(members, model.domains, targets, **options)
     discard(docs.sparkSession, path)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("_mixing_rate", F.lit(0.0)).schema
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_DOMAINS
+    rate, times, copy = (unused(docs, n) for n in ("rate", "copies", "copy"))
+    schema = docs.withColumn(rate, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.rates(model.posteriors(Words(part.column("text")))))], names=[*part.schema.names, "_mixing_rate"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.rates(model.posteriors(Words(part.column("text")))))], names=[*part.schema.names, rate])
 
-    rated = docs.mapInArrow(run, schema).withColumn("_mixing_copies", copies(F.col("_mixing_rate"), F.col("doc_id").cast("long")))
-    return rated.where("_mixing_copies > 0").withColumn("_mixing_copy", F.explode(F.sequence(F.lit(1), F.col("_mixing_copies")))).select(docs.columns)
+    rated = docs.mapInArrow(run, schema).withColumn(times, copies(F.col(rate), F.col("doc_id").cast("long")))
+    return rated.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(rate, times, copy)
