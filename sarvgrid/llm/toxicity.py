@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, settle
-from .words import Words, WordTable, mix, slices
+from .words import NumberTable, Words, mix, slices
 
 #: Characters cut from both ends of a word (fixed values).
 EDGES = ".,;:!?\"'`()[]{}<>«»“”„‘’‚‹›…|*#%&$-–—_/\\=+~^"
@@ -155,59 +155,61 @@ def different(words: list[str], most: int) -> int:
     return len(found)
 
 
+@dataclass
+class Hits:
+    """The hits of some documents, in the order of the text: document, term, edits and weight of each."""
+
+    doc: np.ndarray
+    term: np.ndarray
+    edits: np.ndarray
+    value: np.ndarray
+
+
 class Matcher:
     def __init__(self, model: Model):
         self.model, self.automaton = model, Automaton(model.words, model.stems)
-        self.table = WordTable(self._kinds, 300_000)
+        self.table = NumberTable(self._kinds, 3, bits=20)
+        n = len(self.automaton.terms)
+        #: Weight of each (term, edits).
+        self.weights = np.array([[self.weight(t, e) for e in range(4)] for t in range(n)]).reshape(n, 4)
 
-    def _kinds(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+    def _kinds(self, words: list[bytes]) -> np.ndarray:
         """(term or -1, edits, flags: 1 quotation mark, 2 reporting, 4 second person) of each word."""
-        out = []
-        for w in words:
+        out = np.zeros((len(words), 3), np.int32)
+        for k, w in enumerate(words):
             raw = w.decode("utf-8", "replace")
             p = raw.lower().strip(EDGES)
             hit = self.automaton.find(p) if p else None
-            flags = (not QUOTES.isdisjoint(raw)) | 2 * (p in REPORTING) | 4 * (p in SECOND)
-            out.append((*hit, flags) if hit else (-1, 0, flags))
+            out[k] = (*(hit or (-1, 0)), (not QUOTES.isdisjoint(raw)) | 2 * (p in REPORTING) | 4 * (p in SECOND))
         return out
 
     def weight(self, term: int, edits: int) -> float:
         known = self.model.weights
         return known[term, edits] if (term, edits) in known else self.model.part[min(edits, 2)] * known.get((term, 0), 1.0)
 
-    def features(self, words: Words) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """A row for each document, and its hits as (term, edits)."""
-        own = np.array(self.table.of(words.vocabulary), np.int64).reshape(-1, 3)
-        rows, hits = np.zeros((words.n, FEATURES)), [[] for _ in range(words.n)]
-        if not len(words.ids):
-            return rows, hits
-        term, edits, flags = own[words.ids].T
-        places, doc = np.flatnonzero(term >= 0), words.doc
-        value = np.array([self.weight(t, e) for t, e in zip(term[places].tolist(), edits[places].tolist(), strict=True)])
-        flagged = [np.concatenate([[0], np.cumsum((flags & bit) > 0)]) for bit in (1, 2, 4)]
-        strong = np.concatenate([[0], np.cumsum(np.bincount(places, np.maximum(value, 0) > 0.5, len(words.ids)))])
-        for p, v in zip(places.tolist(), value.tolist(), strict=True):
-            d = doc[p]
-            a, z = max(words.bounds[d], p - CONTEXT), min(words.bounds[d + 1], p + CONTEXT + 1)
-            quoted = (flagged[0][p + 1] - flagged[0][a] > 0) and (flagged[0][z] - flagged[0][p] > 0)
-            reported, second = flagged[1][z] - flagged[1][a] > 0, flagged[2][z] - flagged[2][a] > 0
-            near = strong[z] - strong[a] - (v > 0.5)
-            context = v * (0.25 if quoted else 1.0) * (0.6 if reported else 1.0) + 0.5 * min(near, 4) * (v > 0.5) + 0.25 * second * (v > 0.5)
-            r = rows[d]
-            if quoted or reported:
-                r[0] += max(v, 0)
-            else:
-                r[1] += max(v, 0)
-                r[2] = max(r[2], v)
-            r[3] = max(r[3], context)
-            r[4] += edits[p] > 0
-            r[5] += v > 0.5
-            r[6] += min(near, 4)
-            hits[d].append((int(term[p]), int(edits[p])))
-        n = np.maximum(words.lengths, 1)
-        rows[:, 7] = rows[:, 5] / n * 100
+    def features(self, words: Words) -> tuple[np.ndarray, Hits]:
+        """A row for each document, and the hits."""
+        term, edits, flags = self.table.of(words)[words.ids].T
+        at, bounds = np.flatnonzero(term >= 0), words.bounds
+        term, edits, doc = term[at], edits[at], words.doc[at]
+        value = self.weights[term, edits] if len(at) else np.zeros(0)
+        strong = value > 0.5
+        quote, report, person = (np.concatenate([[0], np.cumsum((flags & bit) > 0)]) for bit in (1, 2, 4))
+        before = np.concatenate([[0], np.cumsum(np.bincount(at, strong, len(flags)))])
+        a, z = np.maximum(bounds[doc], at - CONTEXT), np.minimum(bounds[doc + 1], at + CONTEXT + 1)
+        quoted = (quote[at + 1] > quote[a]) & (quote[z] > quote[at])
+        reported, second = report[z] > report[a], person[z] > person[a]
+        near = np.minimum(before[z] - before[a] - strong, 4)
+        context = value * np.where(quoted, 0.25, 1.0) * np.where(reported, 0.6, 1.0) + (0.5 * near + 0.25 * second) * strong
+        told, plus = quoted | reported, np.maximum(value, 0)
+        rows = np.zeros((words.n, FEATURES))
+        for k, x in ((0, plus * told), (1, plus * ~told), (4, edits > 0), (5, strong), (6, near)):
+            rows[:, k] = np.bincount(doc, x, words.n)
+        np.maximum.at(rows[:, 2], doc[~told], value[~told])
+        np.maximum.at(rows[:, 3], doc, context)
+        rows[:, 7] = rows[:, 5] / np.maximum(words.lengths, 1) * 100
         rows[:, [0, 1, 4, 5, 6, 7]] = np.log1p(rows[:, [0, 1, 4, 5, 6, 7]])
-        return rows, hits
+        return rows, Hits(doc, term, edits, value)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -227,15 +229,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_documents: int = 5, log_odds: float = 3.0) -> Model:
     """Learns from ``labels`` (doc_id, toxic: 0 or 1) that match ``docs``.
 
-    Bounded: about ``most`` labels, those of smallest hash of doc_id. Of their words the driver gathers those that at least
-    ``least_documents`` toxic documents hold, in as many contexts, and that pass ``log_odds``, then a row of eight numbers for each label.
-    Without both classes, nothing is learned and every score is low.
+    Bounded: about ``most`` labels, those of smallest hash of doc_id, whose texts are read once and settled. Of their words, of any
+    length, the driver gathers those that at least ``least_documents`` toxic documents hold, in as many contexts, and that pass
+    ``log_odds``, then a row of eight numbers for each label. Without both classes, nothing is learned and every score is low.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, most / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
     # labels are bounded by now: they go to the texts, and no text is shuffled
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_id").select("text", "toxic")
+    rows, rows_path = settle(rows, "toxic-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = {}
@@ -256,11 +259,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
                 a, z = words.bounds[d], words.bounds[d + 1]
                 ids = words.ids[a:z].tolist()
                 for form in {forms[i] for i in ids}:
-                    if 3 <= len(form) <= 40:
+                    if form:
                         total.setdefault(form, [0, 0, 0])[y] += 1
                 if y:
                     for i, bit in zip(ids, around[a:z], strict=True):
-                        if forms[i] in total:
+                        if forms[i]:
                             total[forms[i]][2] |= 1 << bit
             if len(total) > 300_000:
                 yield out()
@@ -270,33 +273,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
 
     counted = rows.mapInArrow(count, "word string, clean long, toxic long, contexts long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
     counted, path = settle(counted, "toxic-words")
-    # a stem needs the rarer words too: they are summed by their beginnings
-    stems = counted.where("word <> ''").select("word", "clean", "toxic", "contexts", F.explode(F.sequence(F.lit(STEM), F.lit(STEM + 3))).alias("n")).where(F.length("word") > F.col("n"))
-    stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"), F.count_if(F.col("toxic") > 0).alias("words"))
     total = counted.where("word = ''").first()
     if total is None or not total.clean or not total.toxic:
+        discard(docs.sparkSession, path, rows_path)
         return Model()
     odds = F.log((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.log((F.col("clean") + 0.5) / (total.clean + 1))
     # and not by chance: three standard errors above none
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     enough = (odds >= 3 * error) & (F.col("toxic") >= least_documents) & (F.bit_count("contexts") >= least_documents) & (odds >= log_odds)
-    heads = [r.word for r in stems.where(enough & (F.col("words") >= STEM_WORDS) & (F.col("toxic") >= 4 * least_documents) & (F.col("clean") <= 0.02 * F.col("toxic"))).collect()]
-
-    def families(table: pa.Table) -> pa.Table:
-        order = sorted(zip((-n for n in table.column("toxic").to_pylist()), table.column("word").to_pylist(), strict=True))
-        return pa.table({"word": table.column("head").slice(0, 1), "words": pa.array([different([w for _, w in order], STEM_WORDS)], pa.int64())})
-
-    if heads:
-        under = counted.where((F.col("word") != "") & (F.col("toxic") > 0)).select("word", "toxic", F.explode(F.sequence(F.lit(STEM), F.lit(STEM + 3))).alias("n")).where(F.length("word") > F.col("n"))
-        under = under.select(F.expr("substring(word, 1, n)").alias("head"), "word", "toxic").where(F.col("head").isin(heads))
-        heads = sorted(r.word for r in under.groupBy("head").applyInArrow(families, "word string, words long").where(F.col("words") >= STEM_WORDS).collect())
-    heads = [s for s in heads if not any(s != t and s.startswith(t) for t in heads)]
-    words = sorted(r.word for r in counted.where(enough & (F.col("word") != "")).collect())
-    discard(docs.sparkSession, path)
+    heads = _stems(counted.where("word <> ''"), enough & (F.col("toxic") >= 4 * least_documents) & (F.col("clean") <= 0.02 * F.col("toxic")), 4 * least_documents)
+    words = sorted(r.word for r in counted.where(enough & (F.col("word") != "")).select("word").collect())
     model = Model(words, heads)
     got = rows.mapInArrow(_measure(model, "toxic"), "x array<double>, hits array<int>, toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
-    x, seen = np.array(got["x"].tolist()).reshape(-1, FEATURES), {}
+    seen: dict[int, list[int]] = {}
     for hits, label in zip(got["hits"], y.astype(int), strict=True):
         for code in set(hits):
             seen.setdefault(code, [0, 0])[label] += 1
@@ -306,16 +296,46 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 40_000, least_document
     # few sightings of a misspelling count along with what its term lets expect
     model.weights = {(t, e): exact[t] if e == 0 else (v * n + 2 * model.part[min(e, 2)] * exact.get(t, 1.0)) / (n + 2) for (t, e), (v, n) in odds_of.items()}
     got = rows.mapInArrow(_measure(model, "toxic"), "x array<double>, hits array<int>, toxic int").toPandas()
+    discard(docs.sparkSession, path, rows_path)
     model.beta = fit_logistic(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["toxic"].to_numpy(float))
     return model
 
 
+def _stems(counted: DataFrame, enough: F.Column, least: int) -> list[str]:
+    """Beginnings, of any length from STEM, that pass ``enough`` as words do and that STEM_WORDS different words of toxic documents share."""
+
+    def begun(table: DataFrame, lengths: F.Column) -> DataFrame:
+        return table.withColumn("n", F.explode(lengths)).where(F.length("word") > F.col("n")).withColumn("head", F.expr("substring(word, 1, n)"))
+
+    sums = [F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"), F.count_if(F.col("toxic") > 0).alias("words")]
+    toxic = counted.where((F.col("toxic") > 0) & (F.length("word") > STEM))
+    some = begun(toxic, F.sequence(F.lit(STEM), F.length("word") - 1)).groupBy("head").agg(*sums).where((F.col("words") >= STEM_WORDS) & (F.col("toxic") >= least))
+    lengths = sorted(r.n for r in some.select(F.length("head").alias("n")).distinct().collect())
+    if not lengths:
+        return []
+    # words of clean documents count against a stem too; only lengths that may be a stem's are looked at
+    found = begun(counted, F.array(*map(F.lit, lengths))).groupBy("head").agg(*sums)
+    heads = [r.head for r in found.where(enough & (F.col("words") >= STEM_WORDS)).select("head").collect()]
+    if not heads:
+        return []
+
+    def families(table: pa.Table) -> pa.Table:
+        order = sorted(zip((-n for n in table.column("toxic").to_pylist()), table.column("word").to_pylist(), strict=True))
+        return pa.table({"head": table.column("head").slice(0, 1), "words": pa.array([different([w for _, w in order], STEM_WORDS)], pa.int64())})
+
+    under = begun(toxic, F.array(*map(F.lit, lengths))).where(F.col("head").isin(heads)).select("head", "word", "toxic")
+    heads = sorted(r.head for r in under.groupBy("head").applyInArrow(families, "head string, words long").where(F.col("words") >= STEM_WORDS).collect())
+    return [s for s in heads if not any(s != t and s.startswith(t) for t in heads)]
+
+
 def _measure(model: Model, carry: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for part in slices(batches, "text"):
             x, hits = matcher.features(Words(part.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array([[4 * t + e for t, e in h] for h in hits], pa.list_(pa.int32())), part.column(carry)], names=["x", "hits", carry])
+            bounds = np.searchsorted(hits.doc, np.arange(len(x) + 1)).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(bounds), pa.array((4 * hits.term + hits.edits).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), codes, part.column(carry)], names=["x", "hits", carry])
 
     return run
 
@@ -338,7 +358,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for part in slices(batches, "text"):
             x, hits = matcher.features(Words(part.column("text")))
             s = 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
-            hits = [[(t, e) for t, e in h if matcher.weight(t, e) > 0.5] for h in hits]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([len(h) for h in hits], pa.int64()), pa.array([sorted({terms[t] for t, _ in h}) for h in hits], pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "n_hits", "terms"])
+            strong = hits.value > 0.5
+            found: list[set[str]] = [set() for _ in range(len(x))]
+            for d, t in zip(hits.doc[strong].tolist(), hits.term[strong].tolist(), strict=True):
+                found[d].add(terms[t])
+            n = np.bincount(hits.doc[strong], minlength=len(x)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(n), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "n_hits", "terms"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {RESULT}")
