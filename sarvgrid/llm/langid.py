@@ -2,8 +2,10 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum,
 over all ways to cut it into pieces, of the product of the pieces' probabilities; a forward pass over the
-word's characters adds them up. Training is expectation maximisation: a forward and a backward pass give the expected
-uses of each piece, which are summed over the training words of a language and normalised.
+word's characters adds them up. Training is expectation maximisation: the forward pass gives, for each place, how likely each
+piece is to be the one that ends there, and a backward pass from the end of the word how likely each place is to be an end;
+their products are the expected uses of each piece, which are summed over the training words of a language and normalised.
+Both are shares, so no word is too long for the range of doubles.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from pyspark.sql import functions as F
 
 from .store import discard, parts, settle
 from .tokens import public_path
-from .words import Words, slices
+from .words import NumberTable, Words, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # where a word begins
 MAX_PIECE = 16  # the longest piece of the vocabulary, mark included
+#: Runs of up to so many characters take their passes together, by length; longer ones one by one.
+TOGETHER = 24
+#: Languages that a model may have: it goes to every worker, and this bounds it to 25 MB.
+MOST_LANGUAGES = 256
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -43,18 +49,6 @@ def vocabulary(name: str = VOCABULARY, longest: int = MAX_PIECE) -> dict[str, in
     return {p: k + 1 for k, p in enumerate(keep)}
 
 
-def lattice(run: str, pieces: dict[str, int]) -> list[tuple[int, int, int]]:
-    """(from, to, piece) of all pieces in a run; a character that is no piece by itself is the unknown piece."""
-    found, n, get = [], len(run), pieces.get
-    for i in range(n):
-        if run[i] not in pieces:
-            found.append((i, i + 1, 0))
-        for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-            if (p := get(run[i:j])) is not None:
-                found.append((i, j, p))
-    return found
-
-
 class PieceTable:
     """Piece numbers by a 64-bit polynomial hash of their characters, in an open-addressed table that arrays are looked up in."""
 
@@ -93,31 +87,43 @@ def piece_table(name: str = VOCABULARY) -> PieceTable:
     return PieceTable(vocabulary(name))
 
 
+def arcs_by_end(found: list[str], n: int, table: PieceTable) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each place in runs of ``n`` characters, the pieces that end there: (where they begin, which runs, which pieces). A
+    character that is no piece by itself is the unknown piece."""
+    chars = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+    out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
+    for i in range(n):
+        key = np.zeros(len(found), np.uint64)
+        for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + chars[j - 1]
+            p = table.find(key)
+            if j == i + 1:
+                p[p == table.miss] = 0
+            hit = np.flatnonzero(p != table.miss)
+            if len(hit):
+                out[j].append((i, hit, p[hit]))
+    return out
+
+
+def by_length(found: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The runs of each length up to TOGETHER, and the longer ones."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist() if n <= TOGETHER}, np.flatnonzero(sizes > TOGETHER)
+
+
 def score_many(found: list[str], weights: np.ndarray, table: PieceTable, pieces: dict[str, int]) -> np.ndarray:
     """score_runs() of each run, as a row: runs of one length take each step of the forward pass together."""
     out = np.zeros((len(found), weights.shape[1]))
-    sizes = np.array([len(r) for r in found])
-    # one row more than there are pieces: the weight of what is no piece
-    own = np.vstack([weights, np.zeros(weights.shape[1])])
-    for n in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == n)
-        if n > 32:  # products may leave the range of doubles
-            for r in rows.tolist():
-                out[r] = score_runs([found[r]], pieces, weights.tolist(), weights.shape[1])
-            continue
-        chars = np.frombuffer("".join(map(found.__getitem__, rows.tolist())).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+    groups, long = by_length(found)
+    listed = weights.tolist() if len(long) else []
+    for r in long.tolist():
+        out[r] = score_runs([found[r]], pieces, listed, weights.shape[1])
+    for n, rows in groups.items():
         alpha = np.zeros((n + 1, len(rows), weights.shape[1]))
         alpha[0] = 1.0
-        for i in range(n):
-            key = np.zeros(len(rows), np.uint64)
-            for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-                key = key * np.uint64(0x9E3779B97F4A7C15) + chars[j - 1]
-                p = table.find(key)
-                if j == i + 1:
-                    p[p == table.miss] = 0
-                hit = np.flatnonzero(p != table.miss)
-                if len(hit):
-                    alpha[j, hit] += alpha[i, hit] * own[p[hit]]
+        for j, arcs in enumerate(arcs_by_end([found[r] for r in rows.tolist()], n, table)):
+            for i, hit, p in arcs:
+                alpha[j, hit] += alpha[i, hit] * weights[p]
         out[rows] = np.log(alpha[n])
     return out
 
@@ -158,8 +164,13 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, name: str = VOCABULARY):
         self.weights, self.pieces, self.table = weights, vocabulary(name), piece_table(name)
+        width = weights.shape[1] + 1
+        self.known = NumberTable(self.score, width, bits=int(np.log2((64 << 20) / (16 + 8 * width))), dtype=np.float64)
+
+    def of(self, words: Words) -> np.ndarray:
+        return self.known.of(words)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def score(self, words: list[bytes]) -> np.ndarray:
         cut = [runs(w) for w in words]
         number: dict[str, int] = {}
         flat = [number.setdefault(r, len(number)) for found in cut for r in found]
@@ -171,24 +182,57 @@ class Scorer:
         return out
 
 
-def expected(run: str, pieces: dict[str, int], weights: np.ndarray) -> list[tuple[int, float]]:
+def expected(run: str, pieces: dict[str, int], weights: list[float]) -> list[tuple[int, float]]:
     """Expected uses of each piece in a run under one language's weights, by a forward and a backward pass."""
-    n, arcs = len(run), lattice(run, pieces)
-    alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    for a, b, p in arcs:
-        alpha[b] += alpha[a] * weights[p]
-    for a, b, p in reversed(arcs):
-        beta[a] += beta[b] * weights[p]
-    if alpha[n] > 1e-250:
-        return [(p, alpha[a] * weights[p] * beta[b] / alpha[n]) for a, b, p in arcs]
-    # products leave the range of doubles: the same two passes in logarithms
-    logs = {p: float(np.log(weights[p])) for _, _, p in arcs}
-    alpha, beta = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
-    for a, b, p in arcs:
-        alpha[b] = np.logaddexp(alpha[b], alpha[a] + logs[p])
-    for a, b, p in reversed(arcs):
-        beta[a] = np.logaddexp(beta[a], beta[b] + logs[p])
-    return [(p, float(np.exp(alpha[a] + logs[p] + beta[b] - alpha[n]))) for a, b, p in arcs]
+    n, get = len(run), pieces.get
+    ends: list[list[tuple[int, int, float]]] = [[]]
+    back = [1.0]  # of the last places: how their sums compare with that of the latest
+    for j in range(1, n + 1):
+        first, arcs = max(0, j - MAX_PIECE), []
+        for i in range(first, j):
+            p = get(run[i:j], -1)
+            if p >= 0 or i == j - 1:
+                arcs.append((i, max(p, 0), back[i - j] * weights[max(p, 0)]))
+        total = sum(x for _, _, x in arcs)
+        ends.append([(i, p, x / total) for i, p, x in arcs])
+        back = [x / total for x in back[-MAX_PIECE + 1 :]] + [1.0]
+    reached, uses = [0.0] * n + [1.0], []
+    for j in range(n, 0, -1):
+        for i, p, share in ends[j]:
+            reached[i] += share * reached[j]
+            uses.append((p, share * reached[j]))
+    return uses
+
+
+def expect_many(found: list[str], times: np.ndarray, lang: np.ndarray, weights: np.ndarray, table: PieceTable, pieces: dict[str, int]) -> np.ndarray:
+    """Expected uses of all pieces in runs of languages that each occur so many times: expected() for all runs, in arrays."""
+    uses = np.zeros(weights.size)
+    k = weights.shape[1]
+    groups, long = by_length(found)
+    columns = {c: weights[:, c].tolist() for c in set(lang[long].tolist())}
+    for r in long.tolist():
+        for p, x in expected(found[r], pieces, columns[lang[r]]):
+            uses[p * k + lang[r]] += x * times[r]
+    for n, rows in groups.items():
+        own, ends = lang[rows], arcs_by_end([found[r] for r in rows.tolist()], n, table)
+        back, shares = np.zeros((n + 1, len(rows))), []
+        back[0] = 1.0
+        for j in range(1, n + 1):
+            values = [back[i, hit] * weights[p, own[hit]] for i, hit, p in ends[j]]
+            total = np.bincount(np.concatenate([hit for _, hit, _ in ends[j]]), np.concatenate(values), len(rows))
+            shares.append([x / total[hit] for x, (_, hit, _) in zip(values, ends[j], strict=True)])
+            back[max(0, j - MAX_PIECE) : j] /= total
+            back[j] = 1.0
+        reached, at, value = np.zeros((n + 1, len(rows))), [], []
+        reached[n] = 1.0
+        for j in range(n, 0, -1):
+            for share, (i, hit, p) in zip(shares[j - 1], ends[j], strict=True):
+                x = share * reached[j, hit]
+                reached[i, hit] += x
+                at.append(p.astype(np.int64) * k + own[hit])
+                value.append(x * times[rows[hit]])
+        uses += np.bincount(np.concatenate(at), np.concatenate(value), weights.size)
+    return uses.reshape(weights.shape)
 
 
 class Model:
@@ -198,17 +242,19 @@ class Model:
         self.languages, self.weights, self.name = languages, weights, name
 
 
-def train(labelled: DataFrame, most: int = 8_000, rounds: int = 2, smooth: float = 0.1, longest_word: int = 40, name: str = VOCABULARY) -> Model:
+def train(labelled: DataFrame, most: int = 8_000, rounds: int = 2, smooth: float = 0.1, name: str = VOCABULARY) -> Model:
     """Learns from ``labelled`` (doc_id, text, lang); rows without a text or a lang are left out.
 
     Bounded: about ``most`` documents of each language, those of smallest hash of doc_id, give the counts of
-    words, and runs of over ``longest_word`` characters are not learned from. Piece counts of a language (one
-    row for each piece) are all that the driver gathers.
+    words, of any length. Piece counts of a language (one row for each piece) are all that the driver gathers. Over MOST_LANGUAGES
+    languages are an error.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: a model of so many would not be small enough to send")
     pieces = vocabulary(name)
     if not languages:
         return Model([], np.zeros((len(pieces) + 1, 0)), name)
@@ -228,8 +274,7 @@ def train(labelled: DataFrame, most: int = 8_000, rounds: int = 2, smooth: float
                 mine = np.isin(words.doc, [d for d, x in enumerate(langs) if x == lang])
                 for word, n in zip(*np.unique(words.ids[mine], return_counts=True), strict=True):
                     for run in cut[word]:
-                        if len(run) <= longest_word:
-                            total[lang, run] = total.get((lang, run), 0) + int(n)
+                        total[lang, run] = total.get((lang, run), 0) + int(n)
             if len(total) > 200_000:
                 yield out()
                 total.clear()
@@ -245,13 +290,21 @@ def train(labelled: DataFrame, most: int = 8_000, rounds: int = 2, smooth: float
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            own, cols = vocabulary(name), [now[:, k].tolist() for k in range(now.shape[1])]
-            uses = np.zeros(now.shape)
+            own, table, uses, held, chars = vocabulary(name), piece_table(name), np.zeros(now.shape), [], 0
+
+            def add() -> np.ndarray:
+                rows = pa.Table.from_batches(held)
+                lang = np.array([index[x] for x in rows.column("lang").to_pylist()], np.int64)
+                return expect_many(rows.column("run").to_pylist(), rows.column("n").to_numpy(), lang, now, table, own)
+
             for batch in batches:
-                for lang, run, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "run", "n")), strict=True):
-                    k = index[lang]
-                    for p, x in expected(run, own, cols[k]):
-                        uses[p, k] += x * n
+                held.append(batch)
+                chars += batch.column("run").nbytes
+                if chars > 1 << 20:
+                    uses += add()
+                    held, chars = [], 0
+            if held:
+                uses += add()
             p, k = np.nonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(uses[p, k])], names=["piece", "lang", "n"])
 
@@ -282,7 +335,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         k, scorer = len(languages), Scorer(weights.astype(np.float64), name)
         for part in slices(batches, "text", 4 << 20):
             words = Words(part.column("text"))
-            own = scorer.of(words.vocabulary)
+            own = scorer.of(words)
             total = np.zeros((words.n, k + 1))
             for c in range(k + 1):
                 total[:, c] = np.bincount(words.doc, own[:, c][words.ids] if len(words.ids) else None, words.n)
