@@ -28,6 +28,27 @@ INSUFFICIENT_CORE = ("اینترنتی",)
 ROLES = {"pillar": 3, "commercial": 2, "informational": 1, "other": 0}
 STATUSES = {"known": 2, "estimated": 1, "unknown": 0}
 UI_PHRASES = ("ثبت نظر", "نمایش بیشتر", "همه حقوق", "همه\u200c حقوق", "ورود", "ثبت\u200cنام", "ثبت نام", "سبد خرید", "جستجو", "پنل", "افزودن به", "بازگشت به بالا", "نظر شما با موفقیت")
+NAV_WORDS = r"ورود|ثبت[{space}\u200c]?نام|سبد خرید|اپلیکیشن|دانلود|کپی\u200cرایت|Copyright".replace("{space}", SPACE)
+SHOP_CUES = "خرید|محصول|قیمت|دسته\u200c?بند|کالا|ارسال|گارانتی|تومان|سبد|فروشگاه|برند"
+LONGEST_WEB_SENTENCE = 220
+#: Explanations of decisions on pages; the fields are named.
+KEEP_TEXT = "برنده بر اساس معیار {decided_by}."
+DIFFERENTIATE_TEXT = "نقش صفحه ({role}) با برنده ({winner_role}) فرق دارد؛ زاویه را جدا کنید، حذف نکنید."
+RETARGET_TEXT = "نقش یکسان است ولی محتوا قابل توجه است ({words} کلمه ≥ {limit})؛ کیورد هدف را عوض کنید."
+MERGE_TEXT = "نقش یکسان و محتوای کم ({words} < {limit})؛ ادغام/۳۰۱ به {winner} پیشنهاد می\u200cشود."
+OVERRIDE_TEXT = "priority صفحهٔ {winner} را برنده کرد، در حالی که بر اساس سیگنال\u200cهای title/h1، نقش و لینک/حجم، صفحهٔ {signal} برنده می\u200cشد. اختیار انسان حفظ شد."
+#: Explanations of skipped keywords; the status is quoted.
+SKIP_TEXTS = {
+    "empty_keyword_id": "شناسهٔ کلیدواژه خالی است.",
+    "duplicate_keyword_id": "شناسهٔ کلیدواژه تکراری است؛ فقط نخستین نگه داشته شد.",
+    "empty_keyword_text": "متن کلیدواژه خالی است.",
+    "invalid_demand_status": "وضعیت حجم نامعتبر: '{status}'.",
+    "demand_status_conflict": "با status=unknown نباید search_demand عددی باشد.",
+    "missing_search_demand": "status شناخته‌شده/تخمینی نیاز به search_demand دارد.",
+    "negative_search_demand": "search_demand منفی مجاز نیست (۰ با known معتبر است).",
+    "no_content_tokens": "پس از حذف استاپ‌ورد توکن محتوایی نماند.",
+    "only_intent_markers": "پس از حذف نشانگر نیت توکن موضوعی نماند.",
+}
 CLOSED_CLASS = tuple("در به از و با را که این آن یک یا تا بر برای است بود شد هست نیست روستایی توابع بخش شهرستان استان ایران انگلیسی زاده بازیکن فوتبال اهل شهر دهستان مرکز جمعیت کیلومتر واقع".split())
 VERBS = ("است", "بود", "شد", "رفت", "آمد", "کرد", "نمود", "داشت", "هستند", "نیست", "باشند", "باشید")
 UNITS = ("٪", "کیلو", "گرم", "متر", "سانتی", "میلی", "لیتر", "تومان", "ریال")

@@ -5,6 +5,7 @@ There are two forms of a text that must not be mixed: the analysed one for compa
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -52,13 +53,18 @@ def _when_arabic(text: Column, changed: Column) -> Column:
 def analyze(text: Column) -> Column:
     """The form for comparing: unified, ASCII digits, verb prefixes and common suffixes joined to their word, no
     punctuation, lower case."""
+    def glue(base: Column) -> Column:
+        glued = base
+        for prefix in PREFIXES:
+            glued = F.regexp_replace(glued, f"(?<![{WORD}{ARABIC}]){prefix} +(?=[{ARABIC}])", prefix)
+        for suffix in SUFFIXES:
+            glued = F.regexp_replace(glued, f"(?<=[{ARABIC}]) +{suffix}(?![{WORD}{ARABIC}])", suffix)
+        return _when_arabic(base, glued)
+
+    # the unified text is bound to a variable of transform(): named thrice in one expression, it would be worked out thrice
     base = F.translate(to_ascii_digits(unify(text)), ZWNJ, "")
-    glued = base
-    for prefix in PREFIXES:
-        glued = F.regexp_replace(glued, f"(?<![{WORD}{ARABIC}]){prefix} +(?=[{ARABIC}])", prefix)
-    for suffix in SUFFIXES:
-        glued = F.regexp_replace(glued, f"(?<=[{ARABIC}]) +{suffix}(?![{WORD}{ARABIC}])", suffix)
-    return F.lower(squeeze(F.translate(_when_arabic(base, glued), "،؛؟!.,;?:\"'()[]«»", " " * 17)))
+    joined = F.get(F.transform(F.array(base), glue), 0)
+    return F.lower(squeeze(F.translate(joined, "،؛؟!.,;?:\"'()[]«»", " " * 17)))
 
 
 def display(text: Column) -> Column:
@@ -193,16 +199,38 @@ def positive_label(label: Column) -> Column:
 
 
 def source_kind(source: Column, kind: Column, url: Column) -> Column:
-    """wiki, news, magazine or ecommerce; null where nothing says which."""
+    """wiki, news, magazine or ecommerce; null where nothing says which. A source that is a host goes before the URL's."""
     by_domain = {d: k for k, ds in KIND_OF_DOMAIN.items() for d in ds}
-    host = domain(url)
-    blank = (F.trim(source) == "") & (F.trim(kind) == "") & (F.trim(url) == "")
+    host = F.when(source.contains("."), source).otherwise(domain(url))
     return F.coalesce(
         F.when(kind.isin(*KIND_OF_DOMAIN), kind),
         lookup(LEGACY_KINDS, kind),
         lookup(LEGACY_KINDS, source),
-        lookup(by_domain, source),
         lookup(by_domain, host),
-        F.when(F.lower(source).contains("wikipedia") | F.lower(url).contains("wikipedia"), "wiki"),
-        F.when(blank, "magazine"),
+        F.when(source.contains("wikipedia") | host.contains("wikipedia"), "wiki"),
+        F.when((source == "") & (kind == "") & (url == ""), "magazine"),
     )
+
+
+def is_wikipedia(source: Column, kind: Column, url: Column) -> Column:
+    """By the kind, told or resolved, or by the source's name. All that is not is commercial."""
+    known = F.when(kind != "", kind).otherwise(source_kind(source, kind, url))
+    return F.coalesce(known == "wiki", F.lit(False)) | source.isin("fa.wikipedia", "fa.wikipedia.org") | source.contains("wikipedia.org")
+
+
+def now_utc() -> Column:
+    """The time of the query to the second, as 2026-01-31T12:00:00+00:00."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def label_of(value: Column) -> Column:
+    """The label as text of a JSON value (a variant): true and numbers but 0 are S-kasreh, false and 0 are O."""
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    plain = F.when(kind == "BOOLEAN", F.when(text == "true", "S-kasreh").otherwise("O")).when(kind == "STRING", F.when(squeeze(text) != "", squeeze(text)))
+    return plain.when(kind != "VOID", F.when(text.cast("double") != 0, "S-kasreh").otherwise("O"))
+
+
+def filled(template: str, **fields: Column) -> Column:
+    """A text with the named fields put in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(fields[x].cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts) if x))
