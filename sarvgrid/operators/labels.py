@@ -27,13 +27,15 @@ def spans(text: Column, tokens: Column) -> Column:
 
 
 def problems(text: Column, tokens: Column, given: Column, model_tokens: Column | None = None) -> Column:
-    """What is wrong with the tokens and spans of an example; empty where nothing is."""
-    found = spans(text, tokens)
+    """What is wrong with the tokens and spans of an example, of token texts the first; empty where nothing is. Tokens that can't be
+    found in the text end the list."""
+    found = spans(text, tokens if model_tokens is None else model_tokens)
     pairs = F.arrays_zip(tokens.alias("t"), given.alias("s"))
     places = F.when(F.size(pairs) > 0, F.sequence(F.lit(0), F.size(pairs) - 1)).otherwise(F.array().cast("array<int>"))
     bad = F.filter(places, lambda i: ~F.coalesce(F.substring(text, F.get(given, i)["start"] + 1, F.get(given, i)["end"] - F.get(given, i)["start"]) == F.get(tokens, i), F.lit(False)))
     first = [F.when(~model_tokens.eqNullSafe(tokens), F.lit("tokens_mismatch"))] if model_tokens is not None else []
-    return F.concat(F.array_compact(F.array(*first, F.when(found.isNull(), F.lit("align_failed")), F.when(found.isNotNull() & ~found.eqNullSafe(given), F.lit("char_spans_mismatch")))), F.transform(bad, lambda i: F.concat(F.lit("span_slice_mismatch@"), i.cast("string"))))
+    slices = F.when(found.isNotNull() & (F.size(bad) > 0), F.concat(F.lit("span_slice_mismatch@"), F.get(bad, 0).cast("string")))
+    return F.array_compact(F.array(*first, F.when(found.isNull(), F.lit("align_failed")), F.when(found.isNotNull() & ~found.eqNullSafe(given), F.lit("char_spans_mismatch")), slices))
 
 
 def alignment(ours: Column, model: Column) -> Column:
@@ -63,6 +65,17 @@ def alignment_rates(rows: DataFrame) -> DataFrame:
     return cells.groupBy("dim", "key").agg(F.count("*").alias("n"), F.count_if(F.col("reason") != "aligned").alias("unaligned")).withColumn("rate", F.col("unaligned") / F.col("n"))
 
 
+def alignment_samples(rows: DataFrame, most: int = 10) -> DataFrame:
+    """The first ``most`` rows (ordinal, id, source, strata, text, ours, model), by ordinal, whose tokens differ, with the reason."""
+    told = rows.withColumn("reason", alignment(F.col("ours"), F.col("model"))).where("reason <> 'aligned'")
+    return told.orderBy("ordinal").limit(most).select("ordinal", "id", "source", "strata", "reason", "text", "ours", "model")
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """id and problems() of each row (id, text, tokens, char_spans, model: the model's tokens); its problems are empty where all is well."""
+    return rows.select("id", problems(F.col("text"), F.col("tokens"), F.col("char_spans"), F.col("model")).alias("problems"))
+
+
 def contract(rates: DataFrame) -> DataFrame:
     """If the overall unaligned rate says that the token contract must change."""
     return rates.where("dim = 'overall'").select("n", "unaligned", "rate", F.when(F.col("rate") > MAX_UNALIGNED, "switch").otherwise("keep").alias("decision"))
@@ -105,10 +118,22 @@ def ingest(sheet: DataFrame, base: DataFrame, labeler: str) -> Ingested:
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str = "id", ordinal: str = "ordinal") -> DataFrame:
-    """Rows of ``new`` replace those of ``base`` by key and keep their place; the rest of ``new`` comes after."""
+    """Rows of ``new`` replace those of ``base`` by key and keep their place; the rest of ``new`` comes after all of them.
+
+    Where ``base`` has an ordinal, so does the result: places of the rest run on from its last one, in their own order or by key.
+    """
     both = base.withColumn("_old", F.lit(True)).join(new.withColumn("_new", F.lit(True)).select(key, "_new", *(F.col(c).alias(f"_{c}") for c in new.columns if c != key)), key, "full_outer")
     columns = [F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in new.columns and c not in (key, ordinal) else F.col(c) for c in base.columns]
-    return both.select(*columns)
+    if ordinal not in base.columns:
+        return both.select(*columns)
+    last = base.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("m")).first().m
+    kept = both.where("_old").select(*columns)
+    more = both.where("_old IS NULL").select(*columns, *([F.col(f"_{ordinal}")] if ordinal in new.columns else []))
+    # only what is new is numbered: by its own ordinal, or in ranges of the key
+    if ordinal in new.columns:
+        least = new.agg(F.min(ordinal).alias("m")).first().m
+        return kept.unionByName(more.withColumn(ordinal, F.col(f"_{ordinal}") - F.lit(least) + last + 1).drop(f"_{ordinal}"))
+    return kept.unionByName(more.sort(key).withColumn(ordinal, F.monotonically_increasing_id() + last + 1))
 
 
 def masked(rows: DataFrame) -> DataFrame:
@@ -137,7 +162,8 @@ def evaluate(gold: DataFrame, predictions: DataFrame, least: int = MIN_EXAMPLES)
     without others. Slices of fewer than ``least`` examples say so and have no numbers.
     """
     # an example without predictions has none of the right length; as a null it would be filtered out before that is seen
-    both = gold.join(predictions, "id", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<int>")))
+    gold = gold.select("id", "source_kind", "domain", "strata", "tokens", "ezafe")
+    both = gold.join(predictions.select("id", "pred"), "id", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<int>")))
     rows = masked(both).where(F.size("cells") > 0)
     tags = F.when(F.size("strata") > 0, F.col("strata")).otherwise(F.array(F.lit("(none)")))
     group = F.when(F.col("source_kind") == "wiki", "wikipedia").otherwise("commercial")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.charclass import ARABIC, BLOCKED_DOMAINS, END, SPACE, STRATA_QUOTAS, UI_PHRASES, UNITS, VERBS, WORD, ZWNJ
+from ..functions.charclass import ARABIC, BLOCKED_DOMAINS, END, KIND_OF_DOMAIN, LONGEST_WEB_SENTENCE, NAV_WORDS, SHOP_CUES, SPACE, STRATA_QUOTAS, UI_PHRASES, UNITS, VERBS, WORD, ZWNJ
 
 _EDGES = r"[«»\"'()\[\]{}،,؛;:.!?؟۔…\-_/]+"
 _CLAUSE = "|".join(VERBS) + rf"|می{ZWNJ}[{WORD}]+|مي[{WORD}]+|نمى[{WORD}]+|نمی{ZWNJ}[{WORD}]+|[{WORD}]+(?:ند|ید|یم|م|ی|د)"
@@ -57,6 +59,25 @@ def candidate(sentence: Column) -> Column:
     return X.word_count(sentence).between(5, 15) & (F.length(F.regexp_replace(sentence, f"[^{ARABIC}]", "")) >= 8)
 
 
+class Filtered(NamedTuple):
+    kept: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+
+
+def filtered(rows: DataFrame, text: str = "text", carry: tuple[str, ...] = ("id", "text", "source", "source_kind")) -> Filtered:
+    """The rows whose sentence breaks no rule; the others as ``carry`` and the reason; and the number of rows by reason."""
+    told = rows.withColumn("reason", rejection(F.col(text)))
+    rejected = told.where("reason IS NOT NULL").select(*(c for c in carry if c in rows.columns), "reason")
+    return Filtered(told.where("reason IS NULL").drop("reason"), rejected, rejected.groupBy("reason").agg(F.count("*").alias("n")))
+
+
+def shop_sentence(sentence: Column, host: Column) -> Column:
+    """A candidate of a web page: short enough, without words of menus, and from a shop or with a word of shopping."""
+    plain = (F.length(sentence) <= LONGEST_WEB_SENTENCE) & candidate(sentence) & ~sentence.rlike(f"(?iu){NAV_WORDS}")
+    return plain & (host.isin(*KIND_OF_DOMAIN["ecommerce"]) | sentence.rlike(SHOP_CUES))
+
+
 def unblocked(rows: DataFrame, source: str = "source") -> DataFrame:
     return rows.where(F.coalesce(F.col(source), F.lit("")) != "").where(~F.col(source).isin(*BLOCKED_DOMAINS))
 
@@ -84,13 +105,23 @@ def unseen(rows: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quota_mix(rows: DataFrame, wiki: int, keep: int, floor: int = 40) -> DataFrame:
-    """The first ``wiki`` rows of kind wiki; of the others ``keep``: shops first up to a floor, then other kinds, then more shops."""
-    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.col("kind") == "wiki", F.col("kind") == "ecommerce").orderBy("ordinal")))
-    shop, first = F.col("kind") == "ecommerce", min(keep, max(floor, keep // 2))
-    tier = F.when(F.col("kind") == "wiki", 0).when(shop & (F.col("_n") <= first), 1).when(~shop, 2).otherwise(3)
-    own = own.withColumn("tier", tier)
-    place = F.row_number().over(Window.partitionBy(F.col("tier") == 0).orderBy("tier", "ordinal"))
-    return own.withColumn("_p", place).where(F.col("_p") <= F.when(F.col("tier") == 0, wiki).otherwise(keep)).drop("_n", "_p")
+    """The first ``wiki`` rows of kind wiki; of the others ``keep``: shops first up to a floor, then other kinds, then more shops.
+
+    Each kind is cut to as many rows as could be wanted before rows are numbered, whatever the input.
+    """
+    shop, first = F.coalesce(F.col("kind") == "ecommerce", F.lit(False)), min(keep, max(floor, keep // 2))
+    from_wiki = F.coalesce(F.col("kind") == "wiki", F.lit(False))
+    some = rows.where(from_wiki).orderBy("ordinal").limit(wiki).withColumn("tier", F.lit(0))
+    shops = rows.where(shop).orderBy("ordinal").limit(keep).withColumn("tier", F.when(F.row_number().over(Window.orderBy("ordinal")) <= first, 1).otherwise(3))
+    others = rows.where(~shop & ~from_wiki).orderBy("ordinal").limit(keep).withColumn("tier", F.lit(2))
+    return some.unionByName(shops.unionByName(others).orderBy("tier", "ordinal").limit(keep))
+
+
+def first_of_each(rows: DataFrame, quotas: dict[str, int], most: int, *order: Column | str) -> DataFrame:
+    """What greedy picks of at most ``most`` rows can reach: the first ``most`` rows of each stratum, a row for each ordinal."""
+    each = rows.withColumn("_s", F.explode("strata")).where(F.col("_s").isin(*quotas))
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy(*order))).where(F.col("_n") <= most)
+    return each.drop("_s", "_n").dropDuplicates(["ordinal"])
 
 
 def greedy_strata(rows: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
@@ -100,37 +131,97 @@ def greedy_strata(rows: DataFrame, quotas: dict[str, int] | None = None) -> Data
     stratum, a bound that doesn't depend on the input; those go through one group.
     """
     quotas = quotas or STRATA_QUOTAS
-    most = sum(quotas.values())
-    each = rows.withColumn("_s", F.explode("strata")).where(F.col("_s").isin(*quotas))
-    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy("ordinal"))).where(F.col("_n") <= most)
-    few = each.groupBy("ordinal").agg(F.first("strata").alias("strata"))
+    few = first_of_each(rows, quotas, sum(quotas.values()), "ordinal").select("ordinal", "strata")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        left, filled, picked = list(zip(pdf["ordinal"], pdf["strata"], strict=True)), dict.fromkeys(quotas, 0), []
-        while True:
-            unmet = [s for s in quotas if filled[s] < quotas[s]]
-            before = len(picked)
-            for stratum in unmet:
-                for k, (ordinal, has) in enumerate(left):
-                    if stratum in has:
-                        picked.append((ordinal, stratum))
-                        for s in has:
-                            if s in filled:
-                                filled[s] += 1
-                        del left[k]
-                        break
-            if len(picked) == before:
-                return pd.DataFrame([(o, s, k) for k, (o, s) in enumerate(picked)], columns=["ordinal", "picked_for", "place"])
+        found = take_in_rounds(list(zip(pdf["ordinal"], pdf["strata"], strict=True)), quotas, None)
+        return pd.DataFrame([(o, s, k) for k, (o, s) in enumerate(found)], columns=["ordinal", "picked_for", "place"])
 
     return few.groupBy().applyInPandas(pick, "ordinal long, picked_for string, place long")
 
 
-def labelling_batch(rows: DataFrame, n_wiki: int = 25, n_shop: int = 25, seed: int = 20260728) -> DataFrame:
-    """A fixed random sample of each pool: the rows of smallest hash of (id, seed)."""
-    pool = F.when(F.col("kind") == "wiki", "wiki").otherwise("commercial")
-    own = rows.withColumn("pool", pool).withColumn("_n", F.row_number().over(Window.partitionBy("pool").orderBy(F.xxhash64("ordinal", F.lit(seed)), "ordinal")))
-    return own.where(F.col("_n") <= F.when(F.col("pool") == "wiki", n_wiki).otherwise(n_shop)).drop("_n")
+def take_in_rounds(left: list[tuple[int, list[str]]], quotas: dict[str, int], most: int | None) -> list[tuple[int, str]]:
+    """(row, stratum it was picked for) in order. What is unmet is looked up once a round. With ``most``, rounds go on over all strata
+    once none is unmet, up to so many picks."""
+    filled, picked = dict.fromkeys(quotas, 0), []
+    while most is None or len(picked) < most:
+        before = len(picked)
+        unmet = [s for s in quotas if filled[s] < quotas[s]]
+        for stratum in unmet or (list(quotas) if most is not None else []):
+            at = next((k for k, (_, has) in enumerate(left) if stratum in has), None)
+            if at is not None:
+                row, has = left.pop(at)
+                picked.append((row, stratum))
+                for s in has:
+                    if s in filled:
+                        filled[s] += 1
+            if most is not None and len(picked) >= most:
+                break
+        if len(picked) == before:
+            break
+    return picked
+
+
+def labelling_batch(rows: DataFrame, n_wiki: int = 25, n_commercial: int = 25, seed: int = 20260728, quotas: dict[str, int] | None = None) -> DataFrame:
+    """A fixed sample of each pool, wiki and commercial: ordinal, pool, place.
+
+    Rows are shuffled by md5 of (seed, ordinal). Strata come first, in rounds, until each has a sixth of its quota or more; then rows
+    in shuffled order fill the pool. Only the first rows of each stratum and of the pool can be picked, and no others leave Spark.
+    """
+    quotas = {k: max(1, q // 6) for k, q in (quotas or STRATA_QUOTAS).items()}
+    wiki = F.coalesce(F.col("kind") == "wiki", F.lit(False))
+    shuffled = rows.select("ordinal", "strata", F.md5(F.concat(F.lit(f"{seed}:"), F.col("ordinal").cast("string"))).alias("_h"), wiki.alias("_w"))
+    found = []
+    for pool, own, n in (("wiki", F.col("_w"), n_wiki), ("commercial", ~F.col("_w"), n_commercial)):
+        some = shuffled.where(own)
+        few = first_of_each(some, quotas, n, "_h", "ordinal").unionByName(some.orderBy("_h", "ordinal").limit(n)).dropDuplicates(["ordinal"])
+
+        found.append(few.groupBy().applyInPandas(_pool(pool, n, quotas), "ordinal long, pool string, place long"))
+    return found[0].unionByName(found[1])
+
+
+def _pool(pool: str, n: int, quotas: dict[str, int]):
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "ordinal"])
+        picked = dict.fromkeys([*(o for o, _ in take_in_rounds(list(zip(pdf["ordinal"], pdf["strata"], strict=True)), quotas, n)), *pdf["ordinal"]])
+        return pd.DataFrame({"ordinal": list(picked)[:n], "pool": pool, "place": range(min(n, len(picked)))})
+
+    return pick
+
+
+def select_corpus(rows: DataFrame, n_wiki: int = 120, n_web: int = 80, quotas: dict[str, int] | None = None) -> DataFrame:
+    """ordinal, kind (wiki or web), place of the rows of a corpus: those picked for the strata, as far as the caps on kinds allow,
+    then the first of each kind up to its cap. No sentence is made up: what is missing shows in shortfalls().
+
+    Picks go through the first ``n_wiki`` wiki and ``n_web`` other rows before all others. Only rows that can be reached leave Spark.
+    """
+    quotas = quotas or STRATA_QUOTAS
+    most = sum(quotas.values())
+    own = rows.select("ordinal", "strata", F.coalesce(F.col("kind") == "wiki", F.lit(False)).alias("_w"))
+    heads, later = [], F.lit(False)
+    for wiki, n in ((True, n_wiki), (False, n_web)):
+        first = own.where(F.col("_w") == wiki).orderBy("ordinal").limit(n + most)
+        heads.append(first)
+        last = first.orderBy("ordinal").limit(n).agg(F.max("ordinal").alias("m")).first().m
+        later |= (F.col("_w") == wiki) & (F.col("ordinal") > (last if last is not None else -1))
+    few = first_of_each(own, quotas, most, later, ~F.col("_w"), "ordinal").unionByName(heads[0]).unionByName(heads[1]).dropDuplicates(["ordinal"]).withColumn("_later", later)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["_web"] = ~pdf["_w"]
+        ordered = pdf.sort_values(["_later", "_web", "ordinal"])
+        is_wiki = dict(zip(pdf["ordinal"], pdf["_w"], strict=True))
+        cap, final = {True: n_wiki, False: n_web}, []
+        count = {True: 0, False: 0}
+        chosen = [o for o, _ in take_in_rounds(list(zip(ordered["ordinal"], ordered["strata"], strict=True)), quotas, None)]
+        by_kind = [o for wiki in (True, False) for o in pdf.loc[pdf["_w"] == wiki, "ordinal"].sort_values()]
+        for o in dict.fromkeys([*chosen, *by_kind]):
+            if count[is_wiki[o]] < cap[is_wiki[o]]:
+                final.append(o)
+                count[is_wiki[o]] += 1
+        return pd.DataFrame({"ordinal": final, "kind": ["wiki" if is_wiki[o] else "web" for o in final], "place": range(len(final))})
+
+    return few.groupBy().applyInPandas(pick, "ordinal long, kind string, place long")
 
 
 def shortfalls(rows: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
