@@ -56,3 +56,9 @@ def tools(spark: SparkSession) -> DataFrame:
     """name, read_only, destructive, needs_approval, idempotent. Destructive tools need approval."""
     rows = [(n, True, False, False) for n in READ_TOOLS] + [(n, False, False, False) for n in WRITE_TOOLS] + [(n, False, True, True) for n in GATED_TOOLS]
     return spark.createDataFrame(rows, "name string, read_only boolean, destructive boolean, needs_approval boolean").withColumn("idempotent", F.lit(True))
+
+
+def described(tools_: DataFrame) -> DataFrame:
+    """name, annotations (readOnlyHint, destructiveHint, idempotent) and requires_approval_id of each tool."""
+    hints = F.struct(F.col("read_only").alias("readOnlyHint"), F.col("destructive").alias("destructiveHint"), F.lit(True).alias("idempotent"))
+    return tools_.select("name", hints.alias("annotations"), F.col("needs_approval").alias("requires_approval_id"))

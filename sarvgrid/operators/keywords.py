@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent as I
 from ..functions import text as X
-from ..functions.charclass import INTENTS, STATUSES
+from ..functions.charclass import INTENTS, SKIP_TEXTS, STATUSES
 
 
 def analyzed(keywords: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def ranked(keywords: DataFrame, ordered: bool = False) -> DataFrame:
     return rows.withColumn("head_decided_by", F.when(F.col("head_rank") == 1, decided.otherwise(keys[-1][0]))).drop("_keys", "_next")
 
 
-MEMBER = ("keyword_id", "text", "fingerprint", "topic_core_tokens", "intent_reason_codes", "competing_intent_categories", "search_demand", "search_demand_status")
+MEMBER = ("keyword_id", "text", "fingerprint", "topic_core_tokens", "intent_markers", "intent_reason_codes", "competing_intent_categories", "search_demand", "search_demand_status")
 
 
 class Clusters(NamedTuple):
@@ -98,7 +98,8 @@ def cluster(keywords: DataFrame, ordered: bool = False) -> Clusters:
         F.col("members")[0]["keyword_id"].alias("head_keyword_id"), F.col("members")[0]["text"].alias("head_text"), "members", "head_decided_by",
         F.concat(codes, F.when(F.size("members") == 1, F.array(F.lit("singleton_cluster"))).otherwise(F.array().cast("array<string>"))).alias("reason_codes"),
     )
-    return Clusters(found, validated(keywords).where("reason_code IS NOT NULL").select("keyword_id", "text", "reason_code"))
+    said = F.replace(X.lookup(SKIP_TEXTS, F.col("reason_code")), F.lit("{status}"), F.coalesce("search_demand_status", F.lit("")))
+    return Clusters(found, validated(keywords).where("reason_code IS NOT NULL").select("keyword_id", "text", "reason_code", said.alias("reason_fa")))
 
 
 def hubs(clusters: DataFrame) -> DataFrame:

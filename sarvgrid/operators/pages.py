@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.charclass import ROLES
+from ..functions.charclass import DIFFERENTIATE_TEXT, KEEP_TEXT, MERGE_TEXT, OVERRIDE_TEXT, RETARGET_TEXT, ROLES
 
 SIGNIFICANT_WORDS = 500
 
@@ -32,7 +32,7 @@ def competition(pages: DataFrame, significant_words: int = SIGNIFICANT_WORDS) ->
     """Groups pages by the fingerprint of their keyword; groups of two or more get a winner, and every other page an action.
 
     Losing pages of another role are told apart; of those of the winner's role, long ones (``significant_words`` or more) get another
-    keyword and short ones merge into the winner. Pages without a keyword are skipped.
+    keyword and short ones merge into the winner. Pages without a keyword are skipped. reason_fa explains each decision.
     """
     if significant_words < 0:
         raise ValueError("significant_words must not be negative")
@@ -58,9 +58,11 @@ def competition(pages: DataFrame, significant_words: int = SIGNIFICANT_WORDS) ->
     long = F.col("action") == "retarget"
     codes = F.when(wins, F.array(F.concat(F.lit("winner_by_"), "decided_by"))).when(F.col("action") == "differentiate", F.array(F.lit("loser_differentiate"), F.lit("role_differs_from_winner"))).otherwise(F.array(F.concat(F.lit("loser_"), "action"), F.lit("significant_word_count_threshold"), F.when(long, f"word_count_gte_{significant_words}").otherwise(f"word_count_lt_{significant_words}")))
     codes = F.concat(codes, F.when(X.unknown_role(F.coalesce("page_role", F.lit(""))), F.array(F.lit("unknown_page_role"))).otherwise(F.array().cast("array<string>")))
-    decisions = rows.select("fingerprint", "page_id", "url", "action", F.when(F.col("action") == "consolidate_into", F.col("winner_page_id")).alias("consolidate_target_id"), codes.alias("reason_codes"), "decided_by", "winner_page_id")
+    fields = {"decided_by": F.col("decided_by"), "role": F.col("role"), "winner_role": F.col("_winner_role"), "words": F.col("word_count"), "limit": F.lit(significant_words), "winner": F.col("winner_page_id")}
+    said = F.when(wins, X.filled(KEEP_TEXT, **fields)).when(F.col("action") == "differentiate", X.filled(DIFFERENTIATE_TEXT, **fields)).when(long, X.filled(RETARGET_TEXT, **fields)).otherwise(X.filled(MERGE_TEXT, **fields))
+    decisions = rows.select("fingerprint", "page_id", "url", "action", F.when(F.col("action") == "consolidate_into", F.col("winner_page_id")).alias("consolidate_target_id"), codes.alias("reason_codes"), "decided_by", "winner_page_id", said.alias("reason_fa"))
     overridden = (F.col("page_id") != F.col("_signal")) & F.col("priority").isNotNull()
-    clusters = rows.where(wins).select("fingerprint", F.col("target_keyword").alias("keyword_sample"), "decided_by", "winner_page_id", F.col("_size").alias("n_pages"), F.when(overridden, F.array(F.lit("priority_override_conflicts_signals"))).otherwise(F.array().cast("array<string>")).alias("reason_codes"))
+    clusters = rows.where(wins).select("fingerprint", F.col("target_keyword").alias("keyword_sample"), "decided_by", "winner_page_id", F.col("_size").alias("n_pages"), F.when(overridden, F.array(F.lit("priority_override_conflicts_signals"))).otherwise(F.array().cast("array<string>")).alias("reason_codes"), F.when(overridden, X.filled(OVERRIDE_TEXT, winner=F.col("winner_page_id"), signal=F.col("_signal"))).otherwise("").alias("reason_fa"))
     return Competition(clusters, decisions, pages.where(blank).select("page_id", F.lit("empty_target_keyword").alias("reason_code")))
 
 
