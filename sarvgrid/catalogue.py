@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import charclass as C
 from .functions import text as X
-from .operators import audit, backends, governance, keywords, labels, pages, sentences
+from .operators import audit, backends, examples, governance, keywords, labels, pages, report, sentences
 from .plans import fixtures as fx
 from .plans import oracle as q
+from .sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -123,12 +124,24 @@ def topic_hubs(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.hubs(keywords.cluster(fx.keywords(spark, sf)).clusters).select("topic_core_fingerprint", "label", long("keyword_count").alias("keyword_count"), "intent_count")
 
 
-@query(f"WITH {fx.KEYWORDS}, {q.ranked()} SELECT (SELECT count(*) FROM kw) AS inputs, (SELECT count(*) FROM va WHERE reason_code IS NOT NULL) AS skipped, count(DISTINCT topic_core_fingerprint || ':' || intent) AS clusters, count(DISTINCT topic_core_fingerprint) AS hubs, round(count(DISTINCT topic_core_fingerprint || ':' || intent) / count(DISTINCT topic_core_fingerprint), 2) AS mean_intents FROM ra")
+@query(f"""WITH {fx.KEYWORDS}, {q.ranked()}, cl AS (SELECT DISTINCT topic_core_fingerprint AS hub, intent FROM ra), hi AS (SELECT string_agg(intent || ':' || n, ' ' ORDER BY intent) AS intents FROM (SELECT intent, count(*) AS n FROM cl GROUP BY intent))
+ SELECT (SELECT count(*) FROM kw) AS inputs, (SELECT count(*) FROM va WHERE reason_code IS NOT NULL) AS skipped, count(*) AS clusters, count(DISTINCT hub) AS hubs, CASE WHEN count(*) > 0 THEN printf('%.2f', count(*) / count(DISTINCT hub)) ELSE '—' END AS mean_intents, any_value(intents) AS intents FROM cl, hi""")
 def report_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = keywords.validated(fx.keywords(spark, sf)).select("reason_code", X.fingerprint(joined("topic_core_tokens")).alias("hub"), "intent")
-    good = F.col("reason_code").isNull()
-    clusters, hubs = F.count_distinct(F.when(good, F.concat("hub", "intent"))), F.count_distinct(F.when(good, F.col("hub")))
-    return rows.agg(F.count("*").alias("inputs"), F.count_if(~good).alias("skipped"), clusters.alias("clusters"), hubs.alias("hubs"), F.round(clusters / hubs, 2).alias("mean_intents"))
+    found = report.summary(fx.keywords(spark, sf))
+    return found.withColumn("intents", joined(F.transform(F.map_entries("intents"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))))
+
+
+_SKIP_TEXT = "CASE reason_code WHEN 'empty_keyword_id' THEN 'شناسهٔ کلیدواژه خالی است.' WHEN 'duplicate_keyword_id' THEN 'شناسهٔ کلیدواژه تکراری است؛ فقط نخستین نگه داشته شد.' WHEN 'empty_keyword_text' THEN 'متن کلیدواژه خالی است.' WHEN 'invalid_demand_status' THEN 'وضعیت حجم نامعتبر: ''' || search_demand_status || '''.' WHEN 'demand_status_conflict' THEN 'با status=unknown نباید search_demand عددی باشد.' WHEN 'missing_search_demand' THEN 'status شناخته‌شده/تخمینی نیاز به search_demand دارد.' WHEN 'negative_search_demand' THEN 'search_demand منفی مجاز نیست (۰ با known معتبر است).' WHEN 'no_content_tokens' THEN 'پس از حذف استاپ‌ورد توکن محتوایی نماند.' WHEN 'only_intent_markers' THEN 'پس از حذف نشانگر نیت توکن موضوعی نماند.' END"
+
+
+@query(f"WITH {fx.KEYWORDS}, {q.validated()} SELECT keyword_id, text, reason_code, {_SKIP_TEXT} AS reason_fa FROM va WHERE reason_code IS NOT NULL")
+def keyword_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.cluster(fx.keywords(spark, sf)).skipped
+
+
+@query(f"""WITH {fx.SENTENCE_ROWS} SELECT ordinal, replace(replace(replace(replace(replace(text || ' <a href="x">''&amp;', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM se""")
+def escape_html(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.sentence_rows(spark, sf).select("ordinal", X.escape_html(F.concat("text", F.lit(' <a href="x">\'&amp;'))).alias("html"))
 
 
 # pages
@@ -138,24 +151,27 @@ _HAS = "len({k}) > 0 AND len(list_filter({k}, lambda t: NOT list_contains(string
 _COMPETE = f"""{fx.PAGES}, pa AS (SELECT *, {_ROLE} AS role, {q.analyze('title')} AS ti, {q.analyze('h1')} AS hi, {q.analyze('target_keyword')} AS ka FROM pg WHERE trim(target_keyword) <> ''),
  pc AS (SELECT *, {q.content('ka')} AS kc FROM pa), pf AS (SELECT *, {q.fingerprint('kc')} AS fingerprint, coalesce(priority, -1000000000000) AS k1, CAST({_HAS.format(k='kc', f='ti')} AS INT) + CAST({_HAS.format(k='kc', f='hi')} AS INT) AS k2, CASE role WHEN 'pillar' THEN 3 WHEN 'commercial' THEN 2 WHEN 'informational' THEN 1 ELSE 0 END AS k3 FROM pc),
  pr AS (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_pages, row_number() OVER w AS rank, row_number() OVER (PARTITION BY fingerprint ORDER BY k2 DESC, k3 DESC, inbound_internal_links DESC, word_count DESC, page_id DESC) AS signal,
+  first_value(page_id) OVER (PARTITION BY fingerprint ORDER BY k2 DESC, k3 DESC, inbound_internal_links DESC, word_count DESC, page_id DESC) AS signal_page,
   lead(k1) OVER w AS n1, lead(k2) OVER w AS n2, lead(k3) OVER w AS n3, lead(inbound_internal_links) OVER w AS n4, lead(word_count) OVER w AS n5 FROM pf WINDOW w AS (PARTITION BY fingerprint ORDER BY k1 DESC, k2 DESC, k3 DESC, inbound_internal_links DESC, word_count DESC, page_id DESC)),
  pw AS (SELECT fingerprint, page_id AS winner_page_id, role AS winner_role, target_keyword AS keyword_sample, n_pages, CASE WHEN signal > 1 AND priority IS NOT NULL THEN 'priority_override_conflicts_signals' ELSE '' END AS reason_codes,
+  CASE WHEN signal > 1 AND priority IS NOT NULL THEN 'priority صفحهٔ ' || page_id || ' را برنده کرد، در حالی که بر اساس سیگنال‌های title/h1، نقش و لینک/حجم، صفحهٔ ' || signal_page || ' برنده می‌شد. اختیار انسان حفظ شد.' ELSE '' END AS reason_fa,
   CASE WHEN k1 <> n1 THEN 'priority' WHEN k2 <> n2 THEN 'title_h1_match' WHEN k3 <> n3 THEN 'page_role' WHEN inbound_internal_links <> n4 THEN 'inbound_internal_links' WHEN word_count <> n5 THEN 'word_count' ELSE 'page_id_tiebreak' END AS decided_by FROM pr WHERE rank = 1 AND n_pages > 1)"""
 
 
-@query(f"WITH {_COMPETE} SELECT fingerprint, keyword_sample, decided_by, winner_page_id, n_pages, reason_codes FROM pw")
+@query(f"WITH {_COMPETE} SELECT fingerprint, keyword_sample, decided_by, winner_page_id, n_pages, reason_codes, reason_fa FROM pw")
 def cannibal_clusters(spark: SparkSession, sf: str) -> DataFrame:
     found = pages.competition(fx.page_targets(spark, sf)).clusters
     return found.withColumn("reason_codes", joined("reason_codes"))
 
 
-@query(f"""WITH {_COMPETE}, ac AS (SELECT fingerprint, page_id, page_role, winner_page_id, decided_by, CASE WHEN page_id = winner_page_id THEN 'keep' WHEN role <> winner_role THEN 'differentiate' WHEN word_count >= 500 THEN 'retarget' ELSE 'consolidate_into' END AS action FROM pr JOIN pw USING (fingerprint))
+@query(f"""WITH {_COMPETE}, ac AS (SELECT fingerprint, page_id, page_role, role, winner_role, word_count, winner_page_id, decided_by, CASE WHEN page_id = winner_page_id THEN 'keep' WHEN role <> winner_role THEN 'differentiate' WHEN word_count >= 500 THEN 'retarget' ELSE 'consolidate_into' END AS action FROM pr JOIN pw USING (fingerprint))
  SELECT fingerprint, page_id, action, CASE WHEN action = 'consolidate_into' THEN winner_page_id END AS consolidate_target_id,
  CASE action WHEN 'keep' THEN 'winner_by_' || decided_by WHEN 'differentiate' THEN 'loser_differentiate role_differs_from_winner' WHEN 'retarget' THEN 'loser_retarget significant_word_count_threshold word_count_gte_500' ELSE 'loser_consolidate_into significant_word_count_threshold word_count_lt_500' END
- || CASE WHEN trim(page_role) <> '' AND lower(trim(page_role)) NOT IN ({q.quoted(tuple(C.ROLES))}) THEN ' unknown_page_role' ELSE '' END AS reason_codes FROM ac""")
+ || CASE WHEN trim(page_role) <> '' AND lower(trim(page_role)) NOT IN ({q.quoted(tuple(C.ROLES))}) THEN ' unknown_page_role' ELSE '' END AS reason_codes,
+ CASE action WHEN 'keep' THEN 'برنده بر اساس معیار ' || decided_by || '.' WHEN 'differentiate' THEN 'نقش صفحه (' || role || ') با برنده (' || winner_role || ') فرق دارد؛ زاویه را جدا کنید، حذف نکنید.' WHEN 'retarget' THEN 'نقش یکسان است ولی محتوا قابل توجه است (' || word_count || ' کلمه ≥ 500)؛ کیورد هدف را عوض کنید.' ELSE 'نقش یکسان و محتوای کم (' || word_count || ' < 500)؛ ادغام/۳۰۱ به ' || winner_page_id || ' پیشنهاد می‌شود.' END AS reason_fa FROM ac""")
 def cannibal_decisions(spark: SparkSession, sf: str) -> DataFrame:
     found = pages.competition(fx.page_targets(spark, sf)).decisions
-    return found.select("fingerprint", "page_id", "action", "consolidate_target_id", joined("reason_codes").alias("reason_codes"))
+    return found.select("fingerprint", "page_id", "action", "consolidate_target_id", joined("reason_codes").alias("reason_codes"), "reason_fa")
 
 
 @query(f"WITH {fx.PAGES} SELECT page_id, 'empty_target_keyword' AS reason_code FROM pg WHERE trim(target_keyword) = ''")
@@ -253,12 +269,15 @@ def domain_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fx.sentence_rows(spark, sf).groupBy(X.domain(F.col("source_url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-_BY_DOMAIN = "CASE " + " ".join(f"WHEN {{d}} IN ({q.quoted(v)}) THEN '{k}'" for k, v in C.KIND_OF_DOMAIN.items()) + " END"
+@query(f"WITH {fx.SOURCED_ROWS} SELECT ordinal, {q.source_kind('source', 'source_kind', 'source_url')} AS kind FROM so")
+def source_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.sourced_rows(spark, sf).select("ordinal", X.source_kind(F.col("source"), F.col("source_kind"), F.col("source_url")).alias("kind"))
 
 
-@query(f"WITH {fx.SENTENCE_ROWS}, ho AS (SELECT ordinal, source_url, {q.domain('source_url')} AS d FROM se) SELECT ordinal, coalesce({_BY_DOMAIN.format(d='d')}, CASE WHEN contains(lower(source_url), 'wikipedia') THEN 'wiki' WHEN source_url = '' THEN 'magazine' END) AS kind FROM ho")
-def source_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.sentence_rows(spark, sf).select("ordinal", X.source_kind(F.lit(""), F.lit(""), F.col("source_url")).alias("kind"))
+@query(f"WITH {fx.SOURCED_ROWS} SELECT {q.is_wikipedia('source', 'source_kind', 'source_url')} AS wikipedia, count(*) AS n FROM so GROUP BY 1")
+def wiki_vs_commercial(spark: SparkSession, sf: str) -> DataFrame:
+    wiki = X.is_wikipedia(F.col("source"), F.col("source_kind"), F.col("source_url"))
+    return fx.sourced_rows(spark, sf).groupBy(wiki.alias("wikipedia")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {fx.SENTENCE_ROWS}, ho AS (SELECT ordinal, {q.domain('source_url')} AS d FROM se) SELECT ordinal, d AS source FROM ho WHERE d <> '' AND d NOT IN ({q.quoted(C.BLOCKED_DOMAINS)})")
@@ -283,6 +302,23 @@ def reject_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {fx.SOURCED_ROWS}, re AS (SELECT *, {q.rejection('text')} AS reason FROM so) SELECT id, text, source, source_kind, reason FROM re WHERE reason IS NOT NULL")
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.filtered(fx.sourced_rows(spark, sf)).rejected
+
+
+@query(rf"WITH {fx.SOURCED_ROWS}, ho AS (SELECT *, {q.domain('source_url')} AS host FROM so) SELECT ordinal, host FROM ho WHERE length(text) <= 220 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) BETWEEN 5 AND 15 AND length(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}]', '', 'g')) >= 8 AND NOT regexp_matches(text, '(?i)ورود|ثبت[\s\x{{200c}}]?نام|سبد خرید|اپلیکیشن|دانلود|کپی\x{{200c}}رایت|Copyright') AND (host IN ('digikala.com', 'blog.okala.com', 'okala.com', 'basalam.com', 'emalls.ir', 'torob.com', 'modiseh.com') OR regexp_matches(text, 'خرید|محصول|قیمت|دسته\x{{200c}}?بند|کالا|ارسال|گارانتی|تومان|سبد|فروشگاه|برند'))")
+def shop_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.sourced_rows(spark, sf).select("ordinal", "text", X.domain(F.col("source_url")).alias("host"))
+    return rows.where(sentences.shop_sentence(F.col("text"), F.col("host"))).select("ordinal", "host")
+
+
+@query(r"WITH sp AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?؟۔])[\s]+', '\1' || chr(1), 'g'), '\s+', ' ', 'g'), chr(1))) AS s FROM conversations) SELECT conv_id, turn, count(*) AS n, sum(length(trim(s)))::BIGINT AS n_chars FROM sp WHERE trim(s) <> '' GROUP BY conv_id, turn")
+def paragraph_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(X.sentences(F.col("text"), lines=False)).alias("s"))
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum(F.length("s")).cast("long").alias("n_chars"))
+
+
 @query(f"WITH {fx.SENTENCE_ROWS} SELECT ordinal FROM se WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) BETWEEN 5 AND 15 AND length(regexp_replace(text, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')) >= 8")
 def candidate_filter(spark: SparkSession, sf: str) -> DataFrame:
     return fx.sentence_rows(spark, sf).where(sentences.candidate(F.col("text"))).select("ordinal")
@@ -335,7 +371,12 @@ def strata_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def labelling_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.labelling_batch(fx.sentence_rows(spark, sf)).select("ordinal", "pool")
+    return sentences.labelling_batch(fx.sentence_rows(spark, sf).withColumn("strata", sentences.strata(F.col("text"))))
+
+
+@query()
+def select_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.select_corpus(fx.sentence_rows(spark, sf).withColumn("strata", sentences.strata(F.col("text"))))
 
 
 # labels
@@ -352,15 +393,88 @@ def tokenize_raw(spark: SparkSession, sf: str) -> DataFrame:
     return fx.sentence_rows(spark, sf).select("ordinal", joined(X.raw_tokens(F.col("text")), "|").alias("tokens"))
 
 
-@query()
+@query(f"WITH RECURSIVE {fx.SENTENCE_ROWS}, tx AS (SELECT DISTINCT text AS k, text, {q.raw_tokens('text')} AS t FROM se), {q.spans('tx', 't')} SELECT ordinal, spans FROM se LEFT JOIN (SELECT k, spans FROM sp WHERE i = len(t)) f ON f.k = se.text")
 def token_spans(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.sentence_rows(spark, sf).select("ordinal", "text", X.raw_tokens(F.col("text")).alias("t"))
     return rows.select("ordinal", labels.spans(F.col("text"), F.col("t")).alias("s")).select("ordinal", joined(F.transform("s", lambda s: F.concat_ws("-", s["start"], s["end"]))).alias("spans"))
 
 
-@query()
+_ALIGNED = f"{fx.TOKEN_ROWS}, al AS (SELECT *, {q.alignment('tokens', 'model')} AS reason FROM tr)"
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.token_rows(spark, sf).select(F.substring("id", 2, 20).cast("long").alias("ordinal"), "id", F.col("domain").alias("source"), "strata", joined("tokens").alias("text"), F.col("tokens").alias("ours"), "model")
+
+
+@query(f"""WITH {_ALIGNED}, ce AS (SELECT 'overall' AS dim, 'all' AS key, reason FROM al UNION ALL SELECT 'source', domain, reason FROM al UNION ALL SELECT 'reason', reason, reason FROM al UNION ALL SELECT 'stratum', unnest(CASE WHEN len(strata) > 0 THEN strata ELSE ['(none)'] END), reason FROM al)
+ SELECT dim, key, count(*) AS n, count(*) FILTER (reason <> 'aligned') AS unaligned, round(count(*) FILTER (reason <> 'aligned') / count(*), 6) AS rate FROM ce GROUP BY dim, key""")
 def alignment_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.alignment_rates(fx.token_rows(spark, sf).select(F.col("domain").alias("source"), "strata", F.col("tokens").alias("ours"), "model"))
+    return labels.alignment_rates(_pairs(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {_ALIGNED} SELECT count(*) AS n, count(*) FILTER (reason <> 'aligned') AS unaligned, CASE WHEN count(*) FILTER (reason <> 'aligned') / count(*) > 0.10 THEN 'switch' ELSE 'keep' END AS decision FROM al")
+def contract_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.contract(labels.alignment_rates(_pairs(spark, sf))).select("n", "unaligned", "decision")
+
+
+@query(f"WITH {_ALIGNED} SELECT id, reason, array_to_string(model, ' ') AS model FROM al WHERE reason <> 'aligned' ORDER BY k LIMIT 10")
+def alignment_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.alignment_samples(_pairs(spark, sf)).select("id", "reason", joined("model").alias("model"))
+
+
+@query(f"WITH RECURSIVE {fx.TOKEN_ROWS}, tx AS (SELECT k, array_to_string(tokens, ' ') AS text, tokens, model, k % 5 = 0 AS cut FROM tr), {q.spans('tx', 'model')}, ok AS (SELECT k FROM sp WHERE i = len(model)) SELECT 'e' || tx.k AS id, concat_ws(' ', CASE WHEN tokens <> model THEN 'tokens_mismatch' END, CASE WHEN ok.k IS NULL THEN 'align_failed' END, CASE WHEN ok.k IS NOT NULL AND (cut OR tokens <> model) THEN 'char_spans_mismatch' END, CASE WHEN ok.k IS NOT NULL AND cut AND len(tokens) > 1 THEN 'span_slice_mismatch@0' END) AS problems FROM tx LEFT JOIN ok ON tx.k = ok.k")
+def span_verify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.token_rows(spark, sf).select("id", joined("tokens").alias("text"), "tokens", "model")
+    given = labels.spans(F.col("text"), F.col("tokens"))
+    cut = F.transform(given, lambda s, i: F.when(i == 0, F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end"))).otherwise(s))
+    rows = rows.withColumn("char_spans", F.when(F.substring("id", 2, 20).cast("long") % 5 == 0, cut).otherwise(given))
+    return labels.verified(rows).select("id", joined("problems").alias("problems"))
+
+
+@query(f"WITH {fx.SOURCED_ROWS}, ok AS (SELECT *, {q.raw_tokens('text')} AS t FROM so WHERE {q.rejection('text')} IS NULL) SELECT id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens, array_to_string({q.strata('text')}, ' ') AS strata, false AS verified FROM ok WHERE len(t) BETWEEN 5 AND 20")
+def made_examples(spark: SparkSession, sf: str) -> DataFrame:
+    made = examples.make(fx.sourced_rows(spark, sf))
+    return made.select("id", long(F.size("tokens")).alias("n_tokens"), joined("tokens", "|").alias("tokens"), joined("strata").alias("strata"), "verified")
+
+
+@query(rf"WITH {fx.SOURCED_ROWS}, ho AS (SELECT id, CASE WHEN {q.domain('source_url')} <> '' THEN {q.domain('source_url')} ELSE source END AS h, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM so WHERE source_kind IN ('wiki', 'magazine')) SELECT id, CASE WHEN contains(h, 'wikipedia') THEN 'fa.wikipedia.org' ELSE h END AS source, len(w) AS n_tokens, 'dadmatools' AS tokenizer_source, '1.0' AS version, false AS verified FROM ho")
+def reminted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.sourced_rows(spark, sf).where("source_kind IN ('wiki', 'magazine')").withColumns({"ezafe": F.array(F.lit(1)), "verified": F.lit(True)})
+    found = examples.remint(rows, F.filter(F.split("text", f"[{C.SPACE}]+"), lambda t: t != ""), "1.0")
+    return found.where("ezafe IS NULL AND tokens_minted_at LIKE '20__-__-__T%+00:00' AND size(char_spans) = size(tokens)").select("id", "source", long(F.size("tokens")).alias("n_tokens"), "tokenizer_source", F.col("dadmatools_version").alias("version"), "verified")
+
+
+_MIGRATED = f"{fx.SOURCED_ROWS}, wi AS (SELECT *, {q.is_wikipedia('source', 'source_kind', 'source_url')} AS w, {q.domain('source_url')} AS h FROM so)"
+
+
+@query(f"WITH {_MIGRATED}, na AS (SELECT *, w OR (h <> '' AND h <> 'technolife.ir') AS stays, CASE WHEN h <> '' THEN h WHEN source <> '' THEN source ELSE '?' END AS d FROM wi) SELECT 'before' AS stage, d AS domain, count(*) AS n FROM na WHERE NOT w GROUP BY d UNION ALL SELECT 'after', d, count(*) FROM na WHERE stays AND NOT w GROUP BY d UNION ALL SELECT 'dropped', d, count(*) FROM na WHERE NOT stays GROUP BY d")
+def migrated_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return examples.migrate(fx.sourced_rows(spark, sf)).counts
+
+
+@query(f"WITH {_MIGRATED} SELECT id, CASE WHEN w THEN 'fa.wikipedia.org' ELSE h END AS source, CASE WHEN w THEN 'wiki' ELSE {q.source_kind('source', 'source_kind', 'source_url')} END AS source_kind FROM wi WHERE w OR (h <> '' AND h <> 'technolife.ir')")
+def migrated_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return examples.migrate(fx.sourced_rows(spark, sf)).rows.select("id", "source", "source_kind")
+
+
+@query(f"WITH {fx.SOURCED_ROWS} SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN 'other-' || ordinal ELSE id END AS id FROM so")
+def id_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.sourced_rows(spark, sf).select("ordinal", "id", F.concat(F.lit("other-"), "ordinal").alias("other_id"))
+    return examples.unused_ids(rows, rows.where("ordinal % 4 = 0").select("id"))
+
+
+@query(rf"WITH {fx.SENTENCE_ROWS}, wo AS (SELECT ordinal, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM se) SELECT ordinal, array_to_string(list_transform(w, lambda t: CAST(ends_with(t, 'ِ') OR ends_with(t, 'ه{C.ZWNJ}ی') AS INT)), ' ') AS flags FROM wo")
+def positional_flags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.sentence_rows(spark, sf).select("ordinal", F.filter(F.split("text", f"[{C.SPACE}]+"), lambda t: t != "").alias("tokens"), backends.marks(F.col("text")).alias("m"))
+    return rows.select("ordinal", joined(F.transform(examples.predicted(F.col("tokens"), F.col("m")), lambda x: x.cast("string"))).alias("flags"))
+
+
+@query(f"""WITH {fx.TOKEN_ROWS} SELECT id, k % 9 < 4 AS verified, len(tokens) AS n_tokens, (list_sum(list_transform(tokens, lambda t: length(t))) + len(tokens) - 1)::BIGINT AS last_end, CASE WHEN k % 3 > 0 THEN array_to_string(ezafe, ' ') END AS labels, CASE domain WHEN 'digikala.com' THEN 'ecommerce' WHEN 'isna.ir' THEN 'news' ELSE 'wiki' END AS source_kind, '2.3' AS version, '{{"more":{{"n":' || k || ',"s":["x",null]}}}}' AS extra FROM tr WHERE k % 50 > 0""")
+def examples_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines decoded, encoded and decoded again."""
+    once = files.decode(fx.example_lines(spark, sf))
+    again = files.decode(files.encode(once).withColumn("number", F.lit(0).cast("long")))
+    return again.select("id", "verified", long(F.size("tokens")).alias("n_tokens"), long(F.element_at("char_spans", -1)["end"]).alias("last_end"), joined(F.transform("ezafe", lambda x: x.cast("string"))).alias("labels"), "source_kind", F.col("dadmatools_version").alias("version"), "extra")
 
 
 @query(f"""WITH {fx.TOKEN_ROWS}, ce AS (SELECT id, source_kind, domain, strata, list_filter(list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'g': ezafe[i], 'p': pred[i]}}), lambda c: {q.labelable('c.t')}) AS cells FROM tr),
@@ -368,7 +482,7 @@ def alignment_rates(spark: SparkSession, sf: str) -> DataFrame:
  sl AS (SELECT 'overall' AS dim, 'all' AS key, n, tp, fp, tn, fn FROM pe UNION ALL SELECT 'source', CASE WHEN source_kind = 'wiki' THEN 'wikipedia' ELSE 'commercial' END, n, tp, fp, tn, fn FROM pe UNION ALL SELECT 'source', 'domain:' || domain, n, tp, fp, tn, fn FROM pe
   UNION ALL SELECT 'stratum', unnest(CASE WHEN len(strata) > 0 THEN strata ELSE ['(none)'] END), n, tp, fp, tn, fn FROM pe),
  ag AS (SELECT dim, key, count(*) AS n_examples, sum(n)::BIGINT AS n_tokens, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM sl GROUP BY dim, key)
- SELECT dim, key, 'ok' AS status, n_examples, n_tokens, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, CASE WHEN tp > 0 THEN round(2.0 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM ag""")
+ SELECT dim, key, CASE WHEN n_examples >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS status, n_examples, n_tokens, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, CASE WHEN tp > 0 THEN round(2.0 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM ag""")
 def metrics_splits(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.token_rows(spark, sf)
     found = labels.evaluate(rows.select("id", "source_kind", "domain", "strata", "tokens", "ezafe"), rows.select("id", "pred"))

@@ -116,7 +116,31 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SOURCES = ("digikala.com", "fa.wikipedia", "shop_mag", "fa.wikipedia.org", "", "nowhere", "isna.ir", "m.wikipedia.org")
+SOURCE_KINDS = ("", "wiki", "news_portal", "", "magazine", "", "odd")
+
+
+def sourced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, kinds and URLs of all sorts, and pages' sentences."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("ordinal"), F.concat(F.lit("s"), k).alias("id"), pick(SENTENCES, k * 7 + F.floor(k / 16)).alias("text"), pick(SOURCES, k).alias("source"), pick(SOURCE_KINDS, F.floor(k / 8)).alias("source_kind"), pick(URLS, F.floor(k / 56)).alias("source_url"))
+
+
+SOURCED_ROWS = f"so AS (SELECT c_custkey AS ordinal, 's' || c_custkey AS id, {sql_pick(SENTENCES, 'c_custkey * 7 + c_custkey // 16')} AS text, {sql_pick(SOURCES, 'c_custkey')} AS source, {sql_pick(SOURCE_KINDS, 'c_custkey // 8')} AS source_kind, {sql_pick(URLS, 'c_custkey // 56')} AS source_url FROM customer)"
+
+TRUTHS = ("true", "1", '"yes"', "[0]", "false", "0", '""', "null", "[]")
+
+
+def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of examples without spans, with values of all sorts for true and false, and with unknown keys."""
+    rows = token_rows(spark, sf_dir).withColumn("k", F.substring("id", 2, 20).cast("long"))
+    label = F.when(F.col("k") % 3 > 0, F.to_json("ezafe")).otherwise("null")
+    value = F.concat(F.lit('{"id":"'), "id", F.lit('","text":"'), F.array_join("tokens", " "), F.lit('","tokens":'), F.to_json("tokens"), F.lit(',"ezafe":'), label, F.lit(',"verified":'), pick(TRUTHS, F.col("k")), F.lit(',"source":"'), "domain", F.lit('","dadmatools_version":"2.3","more":{"n":'), F.col("k").cast("string"), F.lit(',"s":["x",null]}}'))
+    return rows.select(F.when(F.col("k") % 50 == 0, F.concat(F.lit("# "), value)).otherwise(value).alias("value"), F.col("k").alias("number"))
+
+
 TOKEN_ROWS = f"""tr AS (SELECT 'e' || o_orderkey AS id, o_orderkey AS k, list_transform(range(0, o_orderkey % 6 + 1), lambda i: {sql_pick(TOKENS, 'o_orderkey + i * 3')}) AS tokens,
+ list_transform(range(0, o_orderkey % 6 + 1), lambda i: CASE WHEN o_orderkey % 7 = 0 AND i = 0 THEN {sql_pick(TOKENS, 'o_orderkey + i * 3')} || '.' WHEN o_orderkey % 11 = 0 THEN replace({sql_pick(TOKENS, 'o_orderkey + i * 3')}, '\u200c', '') WHEN o_orderkey % 13 = 0 AND i = 0 THEN {sql_pick(TOKENS, 'o_orderkey + i * 3')} || '9' ELSE {sql_pick(TOKENS, 'o_orderkey + i * 3')} END) AS model,
  list_transform(range(0, o_orderkey % 6 + 1), lambda i: CAST((o_orderkey + i) % 3 = 0 AS INT)) AS ezafe, list_transform(range(0, o_orderkey % 6 + 1), lambda i: CAST((o_orderkey + i * 2) % 4 = 0 AS INT)) AS pred,
  {sql_pick(KINDS, 'o_orderkey // 3')} AS source_kind, {sql_pick(('fa.wikipedia.org', 'digikala.com', 'isna.ir'), 'o_orderkey // 3')} AS domain,
  list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'zwnj' ELSE '' END, CASE WHEN o_orderkey % 5 = 0 THEN 'latin_brand' ELSE '' END], lambda s: s <> '') AS strata FROM orders)"""

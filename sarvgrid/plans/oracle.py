@@ -137,3 +137,33 @@ def strata(text: str) -> str:
  CASE WHEN regexp_matches({text}, 'ی\\s+که|یی(?:\\s|$)|یک\\s+\\S+ی(?:\\s|$)|(?:^|\\s)\\S+ی\\s+را(?:\\s|$)') THEN 'ye_non_ezafe' END, CASE WHEN regexp_matches({text}, '[A-Za-z]') THEN 'latin_brand' END,
  CASE WHEN regexp_matches({text}, '\\p{{Nd}}|{number}') THEN 'number_unit' END,
  CASE WHEN {words} BETWEEN 5 AND 10 AND NOT regexp_matches({text}, '\\s+(?:ی|ِ)\\s+') AND regexp_matches({text}, '(?:{light}|می{C.ZWNJ}{w}+|مي{w}+)\\s*[.!?؟۔]?$') THEN 'no_ezafe_candidate' END], lambda x: x IS NOT NULL)"""
+
+
+def source_kind(source: str, kind: str, url: str) -> str:
+    host = f"CASE WHEN contains({source}, '.') THEN {source} ELSE {domain(url)} END"
+    legacy = "CASE {x} WHEN 'wikipedia' THEN 'wiki' WHEN 'fa.wikipedia' THEN 'wiki' WHEN 'news_portal' THEN 'news' WHEN 'blog_portal' THEN 'magazine' WHEN 'shop_mag' THEN 'ecommerce' WHEN 'shop_wiki_stub' THEN 'ecommerce' END"
+    by_host = f"CASE WHEN {host} = 'fa.wikipedia.org' THEN 'wiki' WHEN {host} IN ('hamshahrionline.ir', 'isna.ir', 'khabaronline.ir') THEN 'news' WHEN {host} IN ('digiato.com', 'tarafdari.com', 'zoomit.ir') THEN 'magazine' WHEN {host} IN ('digikala.com', 'blog.okala.com', 'okala.com', 'basalam.com', 'emalls.ir', 'torob.com', 'modiseh.com') THEN 'ecommerce' END"
+    return f"coalesce(CASE WHEN {kind} IN ('wiki', 'news', 'magazine', 'ecommerce') THEN {kind} END, {legacy.format(x=kind)}, {legacy.format(x=source)}, {by_host}, CASE WHEN contains({source}, 'wikipedia') OR contains({host}, 'wikipedia') THEN 'wiki' END, CASE WHEN {source} = '' AND {kind} = '' AND {url} = '' THEN 'magazine' END)"
+
+
+def is_wikipedia(source: str, kind: str, url: str) -> str:
+    return f"(coalesce(CASE WHEN {kind} <> '' THEN {kind} ELSE {source_kind(source, kind, url)} END = 'wiki', false) OR {source} IN ('fa.wikipedia', 'fa.wikipedia.org') OR contains({source}, 'wikipedia.org'))"
+
+
+def raw_tokens(text: str) -> str:
+    """Words of a text without punctuation at their ends; leading marks don't include those that end sentences."""
+    return rf"list_filter(list_transform(regexp_split_to_array(trim({text}), '\s+'), lambda t: regexp_replace(regexp_replace(t, '^[«»\x22\x27()\[\]{{}}،,؛;:…\-_/]+', ''), '[«»\x22\x27()\[\]{{}}،,؛;:.!?؟۔…\-_/]+$', '')), lambda t: t <> '')"
+
+
+def spans(source: str, tokens: str) -> str:
+    """Recursive CTE sp (k, text, tokens, i, pos, spans) of a table (k, text, tokens): spans as text, each found after the one before;
+    its rows with i = len(tokens) are whole."""
+    at = f"(pos + strpos(substr(text, pos + 1), {tokens}[i + 1]) - 1)"
+    return f"""sp AS (SELECT k, text, {tokens}, 0 AS i, 0::BIGINT AS pos, '' AS spans FROM {source} UNION ALL SELECT k, text, {tokens}, i + 1, {at} + length({tokens}[i + 1]), spans || CASE WHEN i > 0 THEN ' ' ELSE '' END || {at} || '-' || ({at} + length({tokens}[i + 1])) FROM sp WHERE i < len({tokens}) AND strpos(substr(text, pos + 1), {tokens}[i + 1]) > 0)"""
+
+
+def alignment(ours: str, model: str) -> str:
+    a, b = f"array_to_string({ours}, '')", f"array_to_string({model}, '')"
+    bare = lambda x: rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}\x{{200c}}]+', '', 'g')"
+    places = f"len(list_filter(range(1, least(len({ours}), len({model})) + 1), lambda j: contains({ours}[j], '{C.ZWNJ}') <> contains({model}[j], '{C.ZWNJ}'))) > 0"
+    return rf"CASE WHEN {ours} = {model} THEN 'aligned' WHEN regexp_matches({a} || {b}, '[.,!?;:،؛؟۔«»\x22\x27()\[\]{{}}…\-_/]') AND {bare(a)} = {bare(b)} THEN 'punctuation' WHEN contains({a}, '{C.ZWNJ}') <> contains({b}, '{C.ZWNJ}') OR {places} THEN 'zwnj' WHEN regexp_matches({a} || {b}, '\p{{Nd}}') THEN 'number' WHEN regexp_matches({a} || {b}, '[A-Za-z]') THEN 'latin' ELSE 'other' END"
