@@ -477,11 +477,14 @@ def examples_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return again.select("id", "verified", long(F.size("tokens")).alias("n_tokens"), long(F.element_at("char_spans", -1)["end"]).alias("last_end"), joined(F.transform("ezafe", lambda x: x.cast("string"))).alias("labels"), "source_kind", F.col("dadmatools_version").alias("version"), "extra")
 
 
-@query(f"""WITH {fx.TOKEN_ROWS}, ce AS (SELECT id, source_kind, domain, strata, list_filter(list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'g': ezafe[i], 'p': pred[i]}}), lambda c: {q.labelable('c.t')}) AS cells FROM tr),
+_METRICS = f"""WITH {fx.TOKEN_ROWS}, ce AS (SELECT id, source_kind, domain, strata, list_filter(list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'g': ezafe[i], 'p': pred[i]}}), lambda c: {q.labelable('c.t')}) AS cells FROM tr),
  pe AS (SELECT *, len(cells) AS n, len(list_filter(cells, lambda c: c.g = 1 AND c.p = 1)) AS tp, len(list_filter(cells, lambda c: c.g = 0 AND c.p = 1)) AS fp, len(list_filter(cells, lambda c: c.g = 0 AND c.p = 0)) AS tn, len(list_filter(cells, lambda c: c.g = 1 AND c.p = 0)) AS fn FROM ce WHERE len(cells) > 0),
  sl AS (SELECT 'overall' AS dim, 'all' AS key, n, tp, fp, tn, fn FROM pe UNION ALL SELECT 'source', CASE WHEN source_kind = 'wiki' THEN 'wikipedia' ELSE 'commercial' END, n, tp, fp, tn, fn FROM pe UNION ALL SELECT 'source', 'domain:' || domain, n, tp, fp, tn, fn FROM pe
   UNION ALL SELECT 'stratum', unnest(CASE WHEN len(strata) > 0 THEN strata ELSE ['(none)'] END), n, tp, fp, tn, fn FROM pe),
- ag AS (SELECT dim, key, count(*) AS n_examples, sum(n)::BIGINT AS n_tokens, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM sl GROUP BY dim, key)
+ ag AS (SELECT dim, key, count(*) AS n_examples, sum(n)::BIGINT AS n_tokens, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM sl GROUP BY dim, key)"""
+
+
+@query(f"""{_METRICS}
  SELECT dim, key, CASE WHEN n_examples >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS status, n_examples, n_tokens, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, CASE WHEN tp > 0 THEN round(2.0 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM ag""")
 def metrics_splits(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.token_rows(spark, sf)
@@ -489,12 +492,26 @@ def metrics_splits(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+@query(f"""{_METRICS} SELECT dim, key, CASE WHEN n_examples < 2000 THEN dim || ' ' || key || ' insufficient_sample' ELSE printf('%s %s: examples=%d tokens=%d tp=%d fp=%d tn=%d fn=%d precision=%s recall=%s f1=%s', dim, key, n_examples, n_tokens, tp, fp, tn, fn, CASE WHEN tp + fp > 0 THEN printf('%.4f', tp / (tp + fp)) ELSE 'n/a' END, CASE WHEN tp + fn > 0 THEN printf('%.4f', tp / (tp + fn)) ELSE 'n/a' END, CASE WHEN tp > 0 THEN printf('%.4f', 2.0 * tp / (2 * tp + fp + fn)) ELSE 'n/a' END) END AS line FROM ag""")
+def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the report; slices of fewer than 2 000 examples are told to be too small."""
+    rows = fx.token_rows(spark, sf)
+    return labels.report(labels.evaluate(rows, rows.select("id", "pred"), 2000))
+
+
 @query(f"WITH {fx.TOKEN_ROWS} SELECT k AS ordinal, id, count(*) + 1 AS n_rows, count(*) FILTER ({q.labelable('t')}) AS n_labelable FROM (SELECT k, id, unnest(tokens) AS t FROM tr) GROUP BY k, id")
 def worksheet_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.token_rows(spark, sf).select(F.substring("id", 2, 20).cast("long").alias("ordinal"), "id", joined("tokens").alias("text"), "tokens")
     return labels.worksheet(rows).groupBy("ordinal", "id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("labelable") == "1").alias("n_labelable"))
 
 
+@query(f"""WITH {fx.TOKEN_ROWS}, ce AS (SELECT id, unnest(range(1, len(tokens) + 1)) AS i, tokens FROM tr) SELECT id, '' AS token_index, array_to_string(tokens, ' ') AS token, '' AS labelable, '' AS ezafe, '' AS ambiguous FROM tr
+ UNION ALL SELECT id, CAST(i - 1 AS VARCHAR), tokens[i], CASE WHEN {q.labelable('tokens[i]')} THEN '1' ELSE '0' END, CASE WHEN {q.labelable('tokens[i]')} THEN '' ELSE '-' END, '' FROM ce""")
+def worksheet_cells(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.token_rows(spark, sf).select(F.substring("id", 2, 20).cast("long").alias("ordinal"), "id", joined("tokens").alias("text"), "tokens")
+    return labels.worksheet(rows).select("id", "token_index", "token", "labelable", "ezafe", "ambiguous")
+
+
 @query(f"WITH {fx.TOKEN_ROWS} SELECT id, array_to_string(list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN {q.labelable('tokens[i]')} THEN ezafe[i] ELSE 0 END), ' ') AS ezafe, 'ok' AS error FROM tr WHERE k % 10 > 0 UNION ALL SELECT id, NULL, 'token_text' FROM tr WHERE k % 10 = 0")
 def worksheet_ingest(spark: SparkSession, sf: str) -> DataFrame:
     base = fx.token_rows(spark, sf).select("id", "tokens", "ezafe", (F.substring("id", 2, 20).cast("long") % 10 == 0).alias("bad"))

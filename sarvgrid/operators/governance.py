@@ -36,9 +36,19 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 
 def running_spend(calls: DataFrame) -> DataFrame:
-    """Adds each call's spend so far in its tenant's month."""
-    so_far = Window.partitionBy("tenant_id", F.date_trunc("month", "at")).orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumn("spent", F.sum("cost_usd").over(so_far))
+    """Adds each call's spend so far in its tenant's month.
+
+    Days are summed first and run on from one to the next, a row a day; calls are ordered within their day only, so a tenant of many
+    calls is a task a day and not one.
+    """
+    day, month = F.to_date("at"), F.date_trunc("month", "at")
+    days = calls.groupBy("tenant_id", month.alias("_month"), day.alias("_day")).agg(F.sum("cost_usd").alias("_sum"))
+    earlier = Window.partitionBy("tenant_id", "_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("tenant_id").alias("_tenant"), "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    so_far = Window.partitionBy("tenant_id", "_day").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = calls.withColumn("_day", day).withColumn("_own", F.coalesce(F.sum("cost_usd").over(so_far), F.lit(0))).withColumnRenamed("_day", "_call_day")
+    both = own.join(days, own["tenant_id"].eqNullSafe(days["_tenant"]) & own["_call_day"].eqNullSafe(days["_day"]), "left")
+    return both.withColumn("spent", F.col("_before") + F.col("_own")).select(*calls.columns, "spent")
 
 
 def first_breach(calls: DataFrame, limit: float) -> DataFrame:

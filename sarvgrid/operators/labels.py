@@ -182,7 +182,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, least: int = MIN_EXAMPLES)
 
 def report(metrics: DataFrame) -> DataFrame:
     """The metrics as lines of text, four decimals, n/a for what is undefined."""
-    shown = [F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("n/a")) for c in ("precision", "recall", "f1")]
+    shown = [F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(c))) for c in ("precision", "recall", "f1")]
     line = F.format_string("%s %s: examples=%d tokens=%d tp=%d fp=%d tn=%d fn=%d precision=%s recall=%s f1=%s", "dim", "key", "n_examples", "n_tokens", "tp", "fp", "tn", "fn", *shown)
     return metrics.select("dim", "key", F.when(F.col("status") == "ok", line).otherwise(F.concat_ws(" ", "dim", "key", "status")).alias("line"))
 
