@@ -13,8 +13,8 @@ A document's set is its distinct word shingles. Texts with equal sets are one cl
    found on a path is shared by all sets below, and a subtree ends as soon as what remains of either side can't reach the
    least overlap that its sizes need.
 
-All links are found, so both the component and the number of links of a document are exact (up to 64-bit hash collisions of
-shingles and 128-bit ones of sets).
+All links are found, so both the component and the number of links of a document are exact, up to collisions of 64-bit hashes of
+shingles, of 128-bit hashes of sets, and in steps 3 and 4, where sets go by half of theirs, of 64-bit ones.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .store import parts, settle
+from .store import discard, parts, settle, unused
 from .words import Words, release, shingle_sets, slices
 
 #: Bytes of text in the smallest slice whose shingles are counted together, and sets in a block of a group.
@@ -220,9 +221,9 @@ class Trie:
         self.least, self.most, self.last, self.below = least, most, last, deep - self.depth
         self.overlap = np.zeros(n, np.int64)
 
-    def links(self, k: int, mask: np.ndarray, own: int, percent: int) -> np.ndarray:
-        """The sets after set ``k`` that link with it; ``mask`` marks its ``own`` tokens."""
-        size, (first, child), (end_at, end) = int(self.sizes[k]), self.children, self.ends
+    def links(self, k: int, size: int, mask: np.ndarray, own: int, percent: int) -> np.ndarray:
+        """The sets after set ``k`` that link with a set of ``size``; ``mask`` marks its ``own`` tokens."""
+        (first, child), (end_at, end) = self.children, self.ends
         found, over = [], self.overlap
         now = np.zeros(1, np.int64)  # the root
         while len(now):
@@ -248,7 +249,7 @@ class Trie:
 
 def join_group(keys: list[int], sizes: np.ndarray, shared: list[bytes], copies: np.ndarray, blocks: np.ndarray, percent: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """(label, links) of each set of a group: the smallest key joined with it here, and the documents it links with.
-    ``cross``: only links between different blocks."""
+    ``cross``: only links between two blocks; then the sets of one go down the trie of the other."""
     raw = [np.frombuffer(x, np.uint64) for x in shared]
     lengths = np.array([len(x) for x in raw])
     _, local, times = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
@@ -257,16 +258,17 @@ def join_group(keys: list[int], sizes: np.ndarray, shared: list[bytes], copies:
     cut = np.cumsum(lengths)[:-1]
     sets = [np.sort(x) for x in np.split(rank[local], cut)]
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+    if cross:  # the block that is searched first
+        order = sorted(order, key=lambda i: blocks[i] != blocks.max())
     sets = [sets[i] for i in order]
     keys_, sizes, copies, blocks = np.array(keys, np.int64)[order], sizes[order], copies[order], blocks[order]
-    trie, mask = Trie(sets, sizes), np.zeros(len(times), bool)
+    n = int((blocks == blocks.max()).sum()) if cross else len(sets)
+    trie, mask = Trie(sets[:n], sizes[:n]), np.zeros(len(times), bool)
     label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
-    for k, s in enumerate(sets):
-        mask[s] = True
-        found = trie.links(k, mask, len(s), percent)
-        mask[s] = False
-        if cross:
-            found = found[blocks[found] != blocks[k]]
+    for k in range(n if cross else 0, len(sets)):
+        mask[sets[k]] = True
+        found = trie.links(-1 if cross else k, int(sizes[k]), mask, len(sets[k]), percent)
+        mask[sets[k]] = False
         if len(found):
             links[k] += copies[found].sum()
             links[found] += copies[k]
@@ -287,18 +289,19 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     component_id is the smallest doc_id reachable by links; n_links is the number of other rows linked directly, rows of equal
     sets included. A text of fewer words is one shingle. A null, empty or blank text has the empty set and links with nothing:
     its component is itself. Rows that repeat a doc_id are rows like others; a null doc_id never names a component unless all of it
-    is null. An empty table gives no rows.
+    is null. An empty table gives no rows. Whole texts count, of any length; sets of equal order and size are taken in any.
     """
+    spark = docs.sparkSession
     sets, _ = settle(shared_shingles(docs, width, percent), "sets")
     some = sets.where("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     near = some.where(F.size("prefix") > 0).select("h1", "h2", "n", "prefix", "shared").dropDuplicates(["h1", "h2"])
-    near, _ = settle(near.join(classes.select("h1", "h2", "copies"), ["h1", "h2"]), "near")
+    near, near_path = settle(near.join(classes.select("h1", "h2", "copies"), ["h1", "h2"]), "near")
     postings = near.select("h1", F.explode("prefix").alias("token"))
     pivots = postings.groupBy("token").agg(F.min("h1").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "pivot")
     met = postings.join(pivots, "token").where("h1 <> pivot").select(F.col("h1").alias("a"), F.col("pivot").alias("b"))
     groups = components(met).withColumnRenamed("node", "h1")
-    groups, _ = settle(groups, "groups")
+    groups, groups_path = settle(groups, "groups")
     counts = groups.groupBy("root").agg(F.count("*").alias("size"))
     grouped = groups.join(counts, "root").join(near.drop("prefix"), "h1")
     n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
@@ -313,7 +316,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         return pa.table([table.column("h1"), table.column("h2"), pa.array(label), pa.array(links)], names=["h1", "h2", "label", "links"])
 
     joined = grouped.select("root", "low", "high", "h1", "h2", "n", "copies", "own", "shared").groupBy("root", "low", "high").applyInArrow(join, "h1 long, h2 long, label long, links long")
-    joined, _ = settle(joined, "joined")
+    joined, joined_path = settle(joined, "joined")
     if counts.where(F.col("size") > block).limit(1).count():  # a group in blocks: what each pair of blocks joined is joined
         roots = components(joined.select(F.col("h1").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("h1"), F.col("root").alias("label"))
         joined = joined.groupBy("h1", "h2").agg(F.sum("links").alias("links")).join(roots, "h1", "left").select("h1", "h2", F.coalesce("label", "h1").alias("label"), "links")
@@ -321,19 +324,26 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
     found = labelled.join(least, "label").select("h1", "h2", "component", "links")
     classes = classes.join(found, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    kept = sets.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    empty = F.col("n") == 0
-    return kept.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(empty, 0).otherwise(F.col("links")).cast("long").alias("n_links"))
+    # only texts that link with another are looked up; read from a table, so that Spark can split the rows of a common one
+    classes, _ = settle(classes.where("links > 0"), "classes")
+    discard(spark, near_path, groups_path, joined_path)
+    linked = sets.where("n > 0").select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one of smallest doc_id (rows that share it: the first by text).
-    Rows with a null doc_id can't be told apart by it and all stay. Columns stay as they are."""
-    from pyspark.sql import Window
+    """The rows of ``docs`` that stand for their component: the one of smallest doc_id. Columns stay as they are, of whatever names.
 
+    Of rows that share a doc_id the first by text stays, then by the other columns that can be ordered; rows alike in all of them
+    are one. Rows with a null doc_id can't be told apart by it and all stay. Null, empty and blank texts link with nothing, so
+    each stays; texts count whole; an empty table gives no rows.
+    """
     found = jaccard_classes(docs, width, percent)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    same = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"))
-    first = Window.partitionBy("_keep").orderBy("text")
-    once = same.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    key, place = unused(docs, "keep"), unused(docs, "place")
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    same = docs.join(keep, docs["doc_id"].cast("long") == keep[key])
+    others = [docs[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = Window.partitionBy(key).orderBy(docs["text"], *others)
+    once = same.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(key, place)
+    return once.unionByName(docs.where(docs["doc_id"].isNull()))
