@@ -196,7 +196,8 @@ def train_and_score(docs: DataFrame, labels: DataFrame, training: F.Column | Non
     doc_id) holds, and the scores: doc_id, score, predicted.
 
     A null, empty or blank text is scored by its statistics, which are those of no words. Repeated rows are scored
-    one by one and repeated labels count one by one; null labels and ids match nothing. An empty table gives no rows.
+    one by one and repeated labels count one by one; null labels and ids match nothing. Texts count whole, of any length. A score
+    that equals the threshold is predicted 1. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     described, _ = settle(describe(docs), "statistics")
     return score(described, train(described, labels if training is None else labels.where(training)))
@@ -206,7 +207,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = 50_000, threshold:
     """The rows of ``docs`` that the classifier accepts (score >= threshold), columns as they are.
 
     Learns from about ``most`` of ``labels`` (doc_id, quality), those of smallest hash of doc_id: they are few enough to be sent
-    to the texts, so no text is shuffled. Nulls and empty texts are judged by their statistics.
+    to the texts, so no text is shuffled. Null, empty and blank texts are judged by their statistics, those of no words; texts count
+    whole, of any length. Repeated rows stay or go together, whatever their other columns, whose names may be any. A score that
+    equals the threshold stays. Without labels of both classes the priors decide, and without any all rows stay; an empty table
+    gives no rows.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), "quality")
     share = min(1.0, most / max(1, known.count()))
