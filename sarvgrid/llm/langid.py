@@ -128,34 +128,29 @@ def score_many(found: list[str], weights: np.ndarray, table: PieceTable, pieces:
     return out
 
 
+def _arcs(run: str, j: int, get) -> list[tuple[int, int]]:
+    """(where it begins, its number) of each piece that ends at ``j``."""
+    out = [(i, p) for i in range(max(0, j - MAX_PIECE), j) if (p := get(run[i:j], -1)) >= 0]
+    return out if out and out[-1][0] == j - 1 else [*out, (j - 1, 0)]
+
+
 def score_runs(found: list[str], pieces: dict[str, int], weights: list[list[float]], languages: int) -> list[float]:
-    """Log probability of some runs for each language. Long runs are scaled as they go, so none underflows."""
+    """Log probability of some runs for each language. Only the sums of the last MAX_PIECE places are held, as shares of the latest, so
+    no run is too long."""
     from math import log
 
     out = [0.0] * languages
     for run in found:
-        n, get = len(run), pieces.get
-        arcs: list[list[tuple[int, list[float]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            if run[i] not in pieces:
-                arcs[i + 1].append((i, weights[0]))
-            for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-                p = get(run[i:j])
-                if p is not None:
-                    arcs[j].append((i, weights[p]))
-        for k in range(languages):
-            alpha, shift = [1.0], 0.0
-            for j in range(1, n + 1):
-                s = 0.0
-                for i, w in arcs[j]:
-                    s += alpha[i] * w[k]
-                alpha.append(s)
-                if s < 1e-200:
-                    # all arcs into later places start within the last MAX_PIECE alphas
-                    top = max(alpha[-MAX_PIECE:])
-                    shift += log(top)
-                    alpha[-MAX_PIECE:] = [x / top for x in alpha[-MAX_PIECE:]]
-            out[k] += log(alpha[n]) + shift
+        back = [[1.0] for _ in range(languages)]
+        for j in range(1, len(run) + 1):
+            arcs = [(i - j, weights[p]) for i, p in _arcs(run, j, pieces.get)]
+            for k, own in enumerate(back):
+                total = 0.0
+                for i, w in arcs:
+                    total += own[i] * w[k]
+                out[k] += log(total)
+                back[k] = [x / total for x in own[-MAX_PIECE + 1 :]]
+                back[k].append(1.0)
     return out
 
 
@@ -182,26 +177,39 @@ class Scorer:
         return out
 
 
-def expected(run: str, pieces: dict[str, int], weights: list[float]) -> list[tuple[int, float]]:
-    """Expected uses of each piece in a run under one language's weights, by a forward and a backward pass."""
-    n, get = len(run), pieces.get
-    ends: list[list[tuple[int, int, float]]] = [[]]
-    back = [1.0]  # of the last places: how their sums compare with that of the latest
-    for j in range(1, n + 1):
-        first, arcs = max(0, j - MAX_PIECE), []
-        for i in range(first, j):
-            p = get(run[i:j], -1)
-            if p >= 0 or i == j - 1:
-                arcs.append((i, max(p, 0), back[i - j] * weights[max(p, 0)]))
+def _forward(run: str, a: int, b: int, back: list[float], pieces: dict[str, int], weights: list[float]) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
+    """For each place from ``a`` + 1 to ``b``, the pieces that end there with their shares; and how the sums of the last places compare
+    with that of the latest."""
+    ends = []
+    for j in range(a + 1, b + 1):
+        arcs = [(i, p, back[i - j] * weights[p]) for i, p in _arcs(run, j, pieces.get)]
         total = sum(x for _, _, x in arcs)
         ends.append([(i, p, x / total) for i, p, x in arcs])
         back = [x / total for x in back[-MAX_PIECE + 1 :]] + [1.0]
-    reached, uses = [0.0] * n + [1.0], []
-    for j in range(n, 0, -1):
-        for i, p, share in ends[j]:
-            reached[i] += share * reached[j]
-            uses.append((p, share * reached[j]))
-    return uses
+    return ends, back
+
+
+def expected(run: str, pieces: dict[str, int], weights: list[float], step: int = 1 << 14) -> list[tuple[int, float]]:
+    """Expected uses of each piece in a run under one language's weights, by a forward and a backward pass.
+
+    The forward pass keeps its sums at every ``step`` places and is taken again between two of them, from the last to the first: memory
+    does not grow with the run.
+    """
+    n, back, kept = len(run), [1.0], []
+    for a in range(0, n, step):
+        kept.append(back)
+        if a + step < n:
+            _, back = _forward(run, a, a + step, back, pieces, weights)
+    reached, uses = {n: 1.0}, {}
+    for a, back in zip(range(len(kept) - 1, -1, -1), reversed(kept), strict=True):
+        a *= step
+        ends, _ = _forward(run, a, min(n, a + step), back, pieces, weights)
+        for j in range(min(n, a + step), a, -1):
+            here = reached.pop(j, 0.0)
+            for i, p, share in ends[j - a - 1]:
+                reached[i] = reached.get(i, 0.0) + share * here
+                uses[p] = uses.get(p, 0.0) + share * here
+    return list(uses.items())
 
 
 def expect_many(found: list[str], times: np.ndarray, lang: np.ndarray, weights: np.ndarray, table: PieceTable, pieces: dict[str, int]) -> np.ndarray:
