@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import zlib
 
@@ -10,9 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sarvgrid.llm import bitplanes, components, fertility, graphsearch, langid, mixing, packing, qda, substrings, toxicity, triejoin
+from sarvgrid.llm import bitplanes, components, fertility, graphsearch, langid, mixing, packing, qda, store, substrings, toxicity, triejoin
 from sarvgrid.llm.tokens import Encoder, public_path
-from sarvgrid.llm.words import Words, rolling, shingle_sets
+from sarvgrid.llm.words import NumberTable, Words, rolling, shingle_sets
 
 WORDS = "the of alpha beta gamma delta river stone house light over under green quick table seven".split()
 ODD = ["", "   ", None, "one", "two words", "\x1c x y \x85", "É é ǅ İstanbul ΑΣ 日本 語 👩‍👧", "<|endoftext|> a<|startoftext|>b", "!!! ### |", "a" * 5000, "line\nline\nline\n\n  \nline"]
@@ -80,6 +81,31 @@ def test_encoder_equals_whole_text(texts):
     assert own.lengths(Words(pa.array(texts))).tolist() == [len(x) for x in expected]
 
 
+def test_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    whole, rng, own = Tokenizer.from_file(public_path("word_bpe_49k.json")), random.Random(3), Encoder()
+    pool = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x180))] + ["'s", "'LL", "'Re", "'tis", " ", "  ", "\n", "0", "9", "İ", "ſ", "\u0301", "\u2028", "\x1c", "\x85", "\xa0", "日", "👩", "</w>", "<|endoftext|>", "<|", "ǅ"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(chr(rng.randrange(1, 0x2FFF)) for _ in range(20)) for _ in range(500)]
+    own.table.size, own.table.keys = 1 << 11, own.table.keys[: 1 << 11]  # so small that it starts afresh now and then
+    own.table._clear()
+    for a in range(0, len(texts), 100):
+        some = texts[a : a + 100]
+        ids, bounds = own.encode(pa.array(some))
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in some]
+
+
+def test_numbers_of_words_survive_full_tables():
+    rng, made = random.Random(4), []
+    table = NumberTable(lambda new: made.append(len(new)) or np.array([[len(w), int(w[1:] or 0)] for w in new]), 2, bits=6)
+    for n in (5, 30, 20, 64, 200, 1):  # up to more than the table has places for
+        some = [f"w{rng.randrange(300)}" for _ in range(n)]
+        words = Words(pa.array([" ".join(some)]))
+        assert table.of(words)[words.ids].tolist() == [[len(w), int(w[1:])] for w in some]
+    assert table.of(Words(pa.array([], pa.string()))).shape == (0, 2) and sum(made)
+
+
 @pytest.mark.parametrize("planes,width", [("bits", 16), ("bits", 31), ("bytes", 2), ("bytes", 4)])
 def test_planes_round_trip(planes, width):
     rng = np.random.default_rng(1)
@@ -269,12 +295,47 @@ def test_substring_rows_and_growing_index(spark, docs):
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     for k in range(4):
         substrings.deduplicate(known.where(F.col("doc_id") % 4 == k), index=index, batches=1)
-    assert [level for level, _ in index.runs] == [2]
+    assert [run.level for run in index.runs] == [2]
     again = substrings.deduplicate(known, index=index, batches=1)
     assert again.where("n_words >= 20 and n_removed < n_words").count() == 0
+    # a lost or cut file is an error, never an empty range
+    lost = next((b for b, n in index.runs[0].files.items() if n > 40))
+    path = f"{index.folder.removeprefix('file:')}/{index.runs[0].name}/{lost:05d}.run"
+    whole = open(path, "rb").read()
+    for data in (None, whole[:-3]):
+        os.remove(path) if data is None else open(path, "wb").write(data)
+        with pytest.raises(Exception, match="FileNotFound|No such file|bytes of"):
+            substrings.deduplicate(known, index=index, batches=1).collect()
+    # so is a folder that isn't the driver's
+    open(path, "wb").write(whole)
+    with pytest.raises(Exception, match="shared by all executors"):
+        open(f"{index.folder.removeprefix('file:')}/{substrings.MARK}", "w").write("other")
+        substrings.deduplicate(known, index=index, batches=1).collect()
     index.drop()
 
 
+def test_hashes_that_repeat_with_other_checks():
+    rng = np.random.default_rng(5)
+    known = np.sort(rng.integers(0, 40, 300).astype(np.uint64))
+    checks = rng.integers(0, 30, 300).astype(np.uint16)
+    value, check = rng.integers(0, 45, 500).astype(np.uint64), rng.integers(0, 30, 500).astype(np.uint16)
+    pairs = set(zip(known.tolist(), checks.tolist()))
+    assert substrings.among(value, check, known, checks).tolist() == [x in pairs for x in zip(value.tolist(), check.tolist())]
+    assert not substrings.among(value, check, known[:0], checks[:0]).any()
+
+
+def test_folders_as_spark_names_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "configured", lambda _: str(tmp_path))  # no scheme: Hadoop's default file system
+    assert store.shared_dir(spark) == f"file:{tmp_path}"
+    docs = spark.createDataFrame([(k, "one two three " * 9) for k in range(3)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substrings.deduplicate(docs, batches=2).collect()) == [24, 27, 27]
+    assert bitplanes.token_files(docs).count() == 3 and len(os.listdir(tmp_path)) > 2
+    assert spark.conf.get(store.CLEAN, None) is None
+    assert store.open_fs("dbfs:/x/y")[1] == "/dbfs/x/y" and store.open_fs("file:///x")[1] == "/x" and store.open_fs("/x")[1] == "/x"
+    with pytest.raises(ValueError, match="wasbs"):
+        store.open_fs("wasbs://a@b/c")
+
+
 def test_fertility_counts(docs, empty, texts):
     import re
 
@@ -359,9 +420,44 @@ def test_forward_sums_all_segmentations():
     expected = np.array([[np.log(brute(r, k)) for k in range(3)] for r in runs])
     assert langid.score_many(runs, weights, table, pieces) == pytest.approx(expected)
     assert np.array([langid.score_runs([r], pieces, weights.tolist(), 3) for r in runs]) == pytest.approx(expected)
-    uses = dict(langid.expected("▁thing", pieces, weights[:, 0].tolist()))
     longest = "▁" + "thing" * 300
-    assert np.isfinite(langid.score_runs([longest], pieces, weights.tolist(), 3)).all() and uses
+    assert np.isfinite(langid.score_runs([longest], pieces, weights.tolist(), 3)).all()
+
+
+def test_expected_uses_of_all_segmentations():
+    pieces, table, rng = langid.vocabulary(), langid.piece_table(), np.random.default_rng(1)
+    weights = rng.random((len(pieces) + 1, 2)) ** 8
+    weights /= weights.sum(0)
+
+    def cuts(r):
+        if not r:
+            yield ()
+        for j in range(1, len(r) + 1):
+            if r[:j] in pieces or j == 1:
+                for rest in cuts(r[j:]):
+                    yield (pieces.get(r[:j], 0), *rest)
+
+    found = ["▁thing", "▁ñandú", "▁a", "▁日本x", "▁wordandword", "▁thing", "▁politic"]
+    lang, times = np.array([0, 1, 0, 1, 1, 1, 0]), np.array([3, 1, 7, 2, 1, 4, 2])
+    expected = np.zeros(weights.shape)
+    for r, k, n in zip(found, lang, times):
+        ways = [(c, np.prod(weights[list(c), k])) for c in cuts(r)]
+        for c, w in ways:
+            for p in c:
+                expected[p, k] += n * w / sum(x for _, x in ways)
+    assert langid.expect_many(found, times, lang, weights, table, pieces) == pytest.approx(expected)
+    one = np.zeros(weights.shape)
+    for r, k, n in zip(found, lang, times):
+        for p, x in langid.expected(r, pieces, weights[:, k].tolist()):
+            one[p, k] += n * x
+    assert one == pytest.approx(expected)
+    for r in found:  # passes taken in steps are the same
+        assert dict(langid.expected(r, pieces, weights[:, 0].tolist(), 2)) == pytest.approx(dict(langid.expected(r, pieces, weights[:, 0].tolist())))
+    # words far longer than the range of doubles: their pieces still cover each character once
+    long = ["▁" + "ღthing" * 400, "ღ" * 40]
+    uses = langid.expect_many(long, np.array([1, 2]), np.array([0, 1]), weights, table, pieces)
+    size = np.array([1, *map(len, pieces)])
+    assert size @ uses == pytest.approx([2401, 80])
 
 
 def test_pieces_are_the_whole_vocabulary():
@@ -371,8 +467,8 @@ def test_pieces_are_the_whole_vocabulary():
     # the training passes reach them, and no long word of single characters is lost
     weights = np.array([8.0 ** (len(p) - 1) for p in ["?", *own]])
     run = langid.MARK + "attempting"
-    assert own[run] in {p for p, _ in langid.expected(run, own, weights / weights.sum())}
-    assert langid.expected("ღ" * 40, own, weights / weights.sum())
+    assert own[run] in {p for p, _ in langid.expected(run, own, (weights / weights.sum()).tolist())}
+    assert langid.expected("ღ" * 40, own, (weights / weights.sum()).tolist())
 
 
 def test_language_id(spark, empty):
@@ -387,6 +483,11 @@ def test_language_id(spark, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in langid.predict(docs, langid.train(docs.where("false"))).collect()} == {"und"}
     assert langid.predict(empty, langid.train(empty)).collect() == []
+    # letter runs without spaces, however long, are learned from and scored
+    long = spark.createDataFrame([(k, "".join(rng.choice(v) for _ in range(300)), x) for k, (x, v) in enumerate([("ja", "あいうえお"), ("el", "αβγδε")] * 20)], docs.schema)
+    assert [r.lang_pred for r in langid.predict(long, langid.train(long.where("doc_id < 30"))).orderBy("doc_id").collect()] == ["ja", "el"] * 20
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame([(k, "a", f"l{k}") for k in range(langid.MOST_LANGUAGES + 1)], docs.schema))
 
 
 def test_qda_is_the_gaussian_rule():
@@ -527,6 +628,33 @@ def test_nearest(spark):
     assert graphsearch.nearest(none, none).collect() == []
 
 
+def test_search_looks_at_a_small_share():
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 1, (40, 12))[rng.integers(0, 40, 6000)] + rng.normal(0, 0.4, (6000, 12))
+    points[:400] = points[0] + rng.normal(0, 0.01, (400, 12))  # a crowded spot
+    edges, start = graphsearch.build_graph(points)
+    near = (points - points.mean(0)).astype(np.float32)
+    asked = np.r_[0:400:20, 400:6000:50]
+    found, _, looked = graphsearch.beam_search(near, edges, start, near[asked], graphsearch.SEARCH_BEAM, graphsearch.POOL, 11)
+    true = np.argsort(((points[None] - points[asked][:, None]) ** 2).sum(2), axis=1)[:, :11]
+    assert np.mean([len({*a[:11].tolist()} & {*b.tolist()}) / 11 for a, b in zip(found, true)]) > 0.95
+    assert looked.mean() < 0.15 * len(points)
+
+
+def test_pruning_keeps_diverse_neighbours():
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (60, 3)).astype(np.float32)
+    candidates = rng.integers(0, 61, (5, 25))  # 60 is none, some stand twice
+    kept = graphsearch.prune_many(points, np.arange(5), candidates.copy(), 6, 1.2)
+    for own, some, got in zip(range(5), candidates, kept):
+        left = sorted({*some.tolist()} - {60, own}, key=lambda c: ((points[c] - points[own]) ** 2).sum())
+        expected = []
+        for c in left:
+            if len(expected) < 6 and all(1.44 * ((points[c] - points[x]) ** 2).sum() > ((points[c] - points[own]) ** 2).sum() for x in expected):
+                expected.append(c)
+        assert [x for x in got.tolist() if x < 60] == expected
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     rng = random.Random(8)
     voc = {"a": WORDS[:8], "b": WORDS[8:]}
@@ -550,6 +678,16 @@ def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.rates(docs, docs.select("doc_id", "text", F.col("lang").alias("domain")))
     assert got.count() == docs.count() and got.where("rate < 0.99 or copies < 1").count() == 0
     assert mixing.rates(table, table.where("false")).where("abs(rate - 1) > 0.01").count() == 0
+    # documents of two domains at once: none has to go for them
+    both = table.unionByName(spark.createDataFrame([(1000 + k, " ".join(rng.choice(voc["ab"[j % 2]]) for j in range(30)), None) for k in range(60)], table.schema))
+    assert mixing.rates(both, both).where("rate < 1 or copies < 1").count() == 0
+    clash = both.withColumn("_rate", F.lit("x")).withColumn("_COPIES", F.lit(1)).withColumn("_copy", F.lit(2))
+    mixed = mixing.mix(clash, both)
+    assert mixed.columns == clash.columns and mixed.select("doc_id").distinct().count() == both.count()
+    with pytest.warns(UserWarning, match="rounds"):
+        assert not mixing.fit(members, model.domains, {"a": 0.5, "b": 0.5}, rounds=1).met
+    with pytest.raises(ValueError, match="domains"):
+        mixing.train(table.withColumn("domain", F.col("doc_id").cast("string")).unionByName(table.withColumn("domain", F.concat(F.lit("x"), "doc_id"))))
     assert mixing.rates(empty, empty.select("doc_id", "text", F.col("lang").alias("domain"))).collect() == []
 
 
@@ -578,3 +716,60 @@ def test_jaccard_join_over_many_slices(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in triejoin.jaccard_classes(docs, 3, 80).collect()}
     component = smallest(list(range(len(texts))), links)
     assert got == {k: (len(sets[k]), component[k], len(links[k])) for k in range(len(texts))}
+
+
+def test_scorers_on_odd_input(spark, docs, texts):
+    """Blank, null and odd texts, a repeated row, a null id, and columns called like the operators' own."""
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(len(texts) - len(ODD))] + [(3, 1, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    found = {
+        "score": qda.train_and_score(docs, marks).collect(),
+        "lang": [r.asDict() | {"score": (r.lang_pred, r.score)} for r in langid.predict(docs, langid.train(docs)).collect()],
+        "toxic": toxicity.score(docs, toxicity.train(docs, marks)).collect(),
+    }
+    by_text = {k: t for k, t in enumerate(texts)} | {None: "a text without an id of seven words"}
+    for name, rows in found.items():
+        assert len(rows) == len(texts) + 2
+        scores: dict = {}
+        for r in rows:
+            scores.setdefault(r["doc_id"], set()).add(r["score"])
+        assert all(len(x) == 1 for x in scores.values()), name  # the repeated row scores as it did
+        blank = {x for k, x in ((k, next(iter(v))) for k, v in scores.items()) if not (by_text[k] or "").strip()}
+        assert len(blank) == 1, name
+        values = [r["score"][1] if name == "lang" else r["score"] for r in rows]
+        assert all(0 <= v <= 1 for v in values)
+    assert {r["lang_pred"] for r in found["lang"] if not any(c.isalpha() for c in by_text[r["doc_id"]] or "")} == {"und"}
+    assert qda.keep_good(docs, marks).columns == docs.columns
+    kept = [tuple(r) for r in qda.keep_good(docs, marks, threshold=0.0).collect()]
+    assert sorted(kept, key=repr) == sorted((tuple(r) for r in docs.collect()), key=repr)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts of 3 million characters and words of 50 000, beside short ones: no operator cuts them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    vocabulary = [prose(rng, 1) for _ in range(4000)]
+    words = [rng.choice(vocabulary) for _ in range(300_000)]
+    long = " ".join(words)
+    changed = words.copy()
+    changed[150_000] = "changed"
+    texts = [long, "a short text of some seven words", " ".join(changed), "x" * 50_000, None, "é" * 20_000 + " " + " ".join(words[:30])]
+    assert all(len(t.encode()) > 2 << 20 for t in (texts[0], texts[2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    ids = [np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in texts]
+    got = bitplanes.token_files(docs).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(i), zlib.crc32(i.tobytes())) for i in ids]
+    pieces = packing.pack(docs).collect()
+    assert sum(r.length for r in pieces) == sum(map(len, ids)) and check_packing(pieces, 6)[0] <= -(-sum(map(len, ids)) // 4096) + 2
+    joined = {r.doc_id: r for r in triejoin.jaccard_classes(docs, 3, 90).collect()}
+    sets, links = brute_links(texts, 3, 90)
+    assert {k: (r.n_shingles, r.component_id, r.n_links) for k, r in joined.items()} == {k: (len(sets[k]), smallest(list(range(6)), links)[k], len(links[k])) for k in range(6)}
+    removed = substrings.deduplicate(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in removed) == brute_removed(list(enumerate(texts)))
+    counted = {r.doc_id: r for r in fertility.judge(docs).collect()}
+    assert [counted[k].n_words for k in range(6)] == [len((t or "").split()) for t in texts] and counted[0].word_chars == sum(map(len, words))
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    known = docs.withColumn("lang", F.when(F.col("doc_id") < 3, "en").otherwise("fr"))
+    for rows in (qda.train_and_score(docs, marks), langid.predict(docs, langid.train(known)), toxicity.score(docs, toxicity.train(docs, marks)), mixing.rates(docs, known.withColumnRenamed("lang", "domain"))):
+        assert rows.count() == 6
