@@ -364,17 +364,38 @@ def quota_mix(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.quota_mix(fx.sentence_rows(spark, sf), 120, 80).select("ordinal", "kind", long("tier").alias("tier"))
 
 
-@query()
+def _rounds(quotas: tuple[int, ...], most: str = "NULL") -> str:
+    """Rounds over the strata as a recursive CTE: a row a step, with what is used so far. ``most`` picks in the order of ``rank``, or all."""
+    goal = "[" + ", ".join(map(str, quotas)) + "]"
+    names = "['zwnj', 'plural_ha', 'ye_non_ezafe', 'no_ezafe_candidate', 'latin_brand', 'number_unit']"
+    unmet = f"list_filter([1, 2, 3, 4, 5, 6], lambda i: filled[i] < {goal}[i])"
+    return f"""na AS (SELECT unnest({names}) AS s, unnest(range(1, 7)) AS i), ca AS (SELECT list(ords ORDER BY i) AS cands FROM (SELECT i, coalesce(list(rank ORDER BY rank) FILTER (rank IS NOT NULL), []) AS ords FROM na LEFT JOIN st ON list_contains(tags, s) GROUP BY i)),
+ mp AS (SELECT list(tags ORDER BY rank) AS tags_of FROM st),
+ go AS (SELECT []::BIGINT[] AS used, []::VARCHAR[] AS wanted, [0, 0, 0, 0, 0, 0]::BIGINT[] AS filled, [1, 2, 3, 4, 5, 6]::BIGINT[] AS todo, 1 AS pos, 0 AS before, false AS done
+  UNION ALL SELECT CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, CASE WHEN pick IS NULL THEN wanted ELSE list_append(wanted, {names}[todo[pos]]) END,
+   CASE WHEN pick IS NULL THEN filled ELSE list_transform([1, 2, 3, 4, 5, 6], lambda i: filled[i] + CAST(list_contains(tags_of[pick], {names}[i]) AS BIGINT)) END,
+   CASE WHEN pos > len(todo) THEN CASE WHEN len({unmet}) = 0 AND {most} IS NOT NULL THEN [1, 2, 3, 4, 5, 6] ELSE {unmet} END ELSE todo END, CASE WHEN pos > len(todo) THEN 1 ELSE pos + 1 END, CASE WHEN pos > len(todo) THEN len(used) ELSE before END,
+   CASE WHEN pos > len(todo) THEN len(used) = before WHEN pick IS NULL THEN false ELSE coalesce(len(used) + 1 >= {most}, false) END
+  FROM (SELECT *, CASE WHEN pos <= len(todo) THEN list_filter(cands[todo[pos]], lambda x: NOT list_contains(used, x))[1] END AS pick FROM go, ca, mp WHERE NOT done) x),
+ en AS (SELECT unnest(used) AS rank, unnest(wanted) AS picked_for, unnest(range(0, len(used))) AS place FROM go WHERE done)"""
+
+
+@query(f"WITH RECURSIVE {fx.SENTENCE_ROWS}, st AS (SELECT row_number() OVER (ORDER BY ordinal) AS rank, ordinal, {q.strata('text')} AS tags FROM se), {_rounds((30, 30, 25, 25, 20, 20))} SELECT ordinal, picked_for, place FROM en JOIN st USING (rank)")
 def strata_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.greedy_strata(fx.sentence_rows(spark, sf).withColumn("strata", sentences.strata(F.col("text"))))
 
 
-@query()
+def _batch(pool: str, test: str) -> str:
+    return f"""SELECT ordinal, '{pool}' AS pool, n AS place FROM (SELECT ordinal, row_number() OVER (ORDER BY coalesce(place, 1000000), rank) - 1 AS n FROM (WITH RECURSIVE st AS (SELECT row_number() OVER (ORDER BY md5('20260728:' || ordinal), ordinal) AS rank, ordinal, {q.strata('text')} AS tags FROM se WHERE {test}), {_rounds((5, 5, 4, 4, 3, 3), '25')} SELECT rank, ordinal, place FROM st LEFT JOIN en USING (rank))) WHERE n < 25"""
+
+
+@query(f"WITH {fx.SENTENCE_ROWS} {_batch('wiki', "kind = 'wiki'")} UNION ALL {_batch('commercial', "kind <> 'wiki'")}")
 def labelling_batch(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.labelling_batch(fx.sentence_rows(spark, sf).withColumn("strata", sentences.strata(F.col("text"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SENTENCE_ROWS}, kd AS (SELECT ordinal, kind = 'wiki' AS w, {q.strata('text')} AS tags, row_number() OVER (PARTITION BY kind = 'wiki' ORDER BY ordinal) AS r FROM se), st AS (SELECT row_number() OVER (ORDER BY r > CASE WHEN w THEN 120 ELSE 80 END, NOT w, ordinal) AS rank, * FROM kd), {_rounds((30, 30, 25, 25, 20, 20))},
+ al AS (SELECT ordinal, w, CASE WHEN place IS NOT NULL THEN 0 WHEN w THEN 1 ELSE 2 END AS g, coalesce(place, ordinal) AS o FROM st LEFT JOIN en USING (rank)), nu AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY g, o) AS n FROM al) SELECT ordinal, CASE WHEN w THEN 'wiki' ELSE 'web' END AS kind, row_number() OVER (ORDER BY g, o) - 1 AS place FROM nu WHERE n <= CASE WHEN w THEN 120 ELSE 80 END""")
 def select_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.select_corpus(fx.sentence_rows(spark, sf).withColumn("strata", sentences.strata(F.col("text"))))
 
