@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .fertility import repeated_words
 from .store import discard, settle
-from .words import Words, column_bytes, slices
+from .words import Words, column_bytes, product, slices
 
 
 def _bytes_in(chars: bytes) -> np.ndarray:
@@ -68,6 +68,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     distinct = np.bincount(doc, minlength=words.n)
     top = np.zeros(words.n)
     np.maximum.at(top, doc, times)
+    # summed from the rarest word on: words are numbered as a batch meets them, which must not show in a text's last bits
+    times = times[np.lexsort((times, doc))]
     entropy = np.log(np.maximum(n, 1)) - np.bincount(doc, times * np.log(times), words.n) / np.maximum(n, 1)
     same = np.zeros(len(words.ids))
     same[1:] = (words.ids[1:] == words.ids[:-1]) & (words.doc[1:] == words.doc[:-1])
@@ -102,9 +104,9 @@ class Model:
     scale: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1."""
-        z = (x - self.centre) / self.scale
-        log = [self.priors[k] - 0.5 * self.log_dets[k] - 0.5 * (((z - self.means[k]) @ self.factors[k].T) ** 2).sum(1) for k in (0, 1)]
+        """Probability of class 1, the same for equal rows wherever they stand."""
+        z, each = (x - self.centre) / self.scale, np.ones(x.shape[1])
+        log = [self.priors[k] - 0.5 * self.log_dets[k] - 0.5 * product(product(z - self.means[k], self.factors[k].T) ** 2, each) for k in (0, 1)]
         return 1.0 / (1.0 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
@@ -196,7 +198,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, training: F.Column | Non
     doc_id) holds, and the scores: doc_id, score, predicted.
 
     A null, empty or blank text is scored by its statistics, which are those of no words. Repeated rows are scored
-    one by one and repeated labels count one by one; null labels and ids match nothing. Texts count whole, of any length. A score
+    one by one, to the same bits, and repeated labels count one by one; null labels and ids match nothing. Texts count whole, of any length. A score
     that equals the threshold is predicted 1. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     described, _ = settle(describe(docs), "statistics")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, settle
-from .words import NumberTable, Words, mix, slices
+from .words import NumberTable, Words, mix, product, slices
 
 #: Characters cut from both ends of a word (fixed values).
 EDGES = ".,;:!?\"'`()[]{}<>«»“”„‘’‚‹›…|*#%&$-–—_/\\=+~^"
@@ -348,7 +348,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     distinct terms (doc_id, text; other columns are ignored).
 
     A null, empty or blank text has no hits and the low score of such documents. Whole texts count, of any length. Repeated
-    rows are scored one by one; an empty table gives no rows.
+    rows are scored one by one, to the same bits; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labels learned from
 
@@ -357,7 +357,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         terms = matcher.automaton.terms
         for part in slices(batches, "text"):
             x, hits = matcher.features(Words(part.column("text")))
-            s = 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
+            s = 1 / (1 + np.exp(-np.clip(beta[0] + product(x, beta[1:]), -30, 30)))
             strong = hits.value > 0.5
             found: list[set[str]] = [set() for _ in range(len(x))]
             for d, t in zip(hits.doc[strong].tolist(), hits.term[strong].tolist(), strict=True):

@@ -124,6 +124,14 @@ def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return out[: n - width + 1]
 
 
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x @ y``, summed column by column: in a matrix product, a row's last bits depend on where it stands among others."""
+    out = np.zeros((len(x), *y.shape[1:]))
+    for column, row in zip(x.T, y, strict=True):
+        out += np.multiply.outer(column, row)
+    return out
+
+
 def _shift(x: np.ndarray, by: int, n: int) -> np.ndarray:
     return np.concatenate([x[by:], np.zeros(by, np.uint64)])[:n]
 

@@ -743,6 +743,30 @@ def test_scorers_on_odd_input(spark, docs, texts):
     assert sorted(kept, key=repr) == sorted((tuple(r) for r in docs.collect()), key=repr)
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    """A text's statistics and score are the same to the last bit whatever stands before and behind it."""
+    rng, numbers = random.Random(20), np.random.default_rng(20)
+    vocabulary = [prose(rng, 1) for _ in range(150)]
+    texts = [" ".join(rng.choices(vocabulary, range(1, 151), k=rng.randrange(1, 900))) for _ in range(90)]
+    x = qda.statistics(pa.array(texts))
+    assert (x == qda.statistics(pa.array(texts[::-1]))[::-1]).all()
+    assert (x == np.vstack([qda.statistics(pa.array([t])) for t in texts])).all()
+    y = np.arange(len(x)) % 2
+    model = qda.discriminant(np.bincount(y).astype(float), np.array([x[y == k].sum(0) for k in (0, 1)]), np.array([x[y == k].T @ x[y == k] for k in (0, 1)]))
+    scores = model.score(x)
+    for rows in (range(1), range(3), range(7, 20), range(1, len(x))):
+        assert (model.score(x[rows.start : rows.stop]) == scores[rows.start : rows.stop]).all()
+
+    bad = [prose(rng, 1) for _ in range(40)]
+    learned = toxicity.Model(bad, [], {(t, e): float(v) for t in range(40) for e, v in enumerate(numbers.normal(1, 1, 3))}, beta=numbers.normal(0, 0.3, toxicity.FEATURES + 1))
+    marked = [" ".join(rng.choices([*bad, "you", "said", "plain", "words"], k=rng.randrange(3, 60))) for _ in range(60)]
+    rows = [t for k in range(1, 12) for t in marked[:: k % 3 + 1][k:]] + marked
+    found: dict = {}
+    for text, r in zip(rows, toxicity.score(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), learned).orderBy("doc_id").collect(), strict=True):
+        found.setdefault(text, set()).add(r.score)
+    assert len(found) == 60 and all(len(v) == 1 for v in found.values())
+
+
 def test_texts_longer_than_a_slice(spark):
     """Texts of 3 million characters and words of 50 000, beside short ones: no operator cuts them."""
     from tokenizers import Tokenizer
