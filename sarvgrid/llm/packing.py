@@ -28,6 +28,8 @@ from .tokens import END_ID, VOCABULARY, encoder
 from .words import slices
 
 CAPACITY = 4096
+#: Files of the table of counts, which has a row for each length and salt at most, however many partitions the session has.
+COUNT_FILES = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -209,7 +211,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     pieces, _ = settle(cut_pieces(docs, capacity, vocabulary, end), "pieces")
     n_salts = max(8, min(parts(spark), 1024))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_salts)).cast("int"))
-    counts, _ = settle(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
+    counts, _ = settle(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).repartition(min(parts(spark), COUNT_FILES)), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = slots(plan_sequences(histogram, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -175,6 +175,22 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_packing_counts_take_few_files(spark, docs, monkeypatch):
+    """The counts of lengths are few: many shuffle partitions don't become as many files."""
+    wrote, conf = [], {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(packing, "settle", lambda df, name: wrote.append(store.settle(df, name)) or wrote[-1])
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = packing.pack(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    check_packing(rows, docs.count())
+    assert len(wrote) == 2 and len(wrote[1][0].inputFiles()) <= packing.COUNT_FILES
+
+
 def test_plan_places_every_length():
     rng = np.random.default_rng(0)
     for sizes in (rng.integers(1, 4097, 3000), rng.integers(20, 300, 500), np.full(700, 4096), np.array([5]), rng.integers(900, 1200, 400)):
