@@ -156,6 +156,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str = VOCABULARY, end: int = END_ID) -> Encoder:
-    """One encoder for each worker process."""
+def _kept(name: str, end: int) -> Encoder:
     return Encoder(name, end)
+
+
+def encoder(name: str = VOCABULARY, end: int = END_ID) -> Encoder:
+    """One encoder for each worker process, however it is asked for: a cache tells defaults from the same values given."""
+    return _kept(name, end)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sarvgrid.llm import bitplanes, components, fertility, graphsearch, langid, mixing, packing, qda, store, substrings, toxicity, triejoin
-from sarvgrid.llm.tokens import Encoder, public_path
+from sarvgrid.llm.tokens import END_ID, VOCABULARY, Encoder, encoder, public_path
 from sarvgrid.llm.words import NumberTable, Words, rolling, shingle_sets
 
 WORDS = "the of alpha beta gamma delta river stone house light over under green quick table seven".split()
@@ -175,6 +175,10 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_a_worker_holds_one_encoder():
+    assert encoder() is encoder(VOCABULARY) is encoder(VOCABULARY, END_ID) is encoder(VOCABULARY, end=END_ID)
+
+
 def test_packing_counts_take_few_files(spark, docs, monkeypatch):
     """The counts of lengths are few: many shuffle partitions don't become as many files."""
     wrote, conf = [], {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
