@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 MARKED = ("خرید", "قیمت", "بهترین", "آموزش", "قیمت خرید", "ارزان\u200cترین", "ارزان ترین", "چیست", "ورود به سایت", "مقایسه", "ثبت نام", "فروشگاه", "در", "")
 TOPICS = ("لپ تاپ", "گوشی سامسونگ", "كتاب\u200cها", "کتاب ها", "طراحی سایت", "ايرانسل", "اینترنتی", "دوربین ۱۵", "دوربین 15", "می رود", "Laptop Dell", "سَلام", "")
 STATUS = ("known", "estimated", "unknown", "unknown", "bogus")
@@ -51,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt over all cores by the first, its key. A table of keys may be one row group, whose one task would derive
+    all texts; what filters the texts must stand above once(), or Spark moves it below this."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, name).select(*columns).repartition(n, columns[0])
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     words = F.array_join(F.filter(F.array(pick(MARKED, k), F.when(k % 5 == 0, pick(MARKED, F.floor(k / 3))).otherwise(""), pick(TOPICS, F.floor(k / 7))), lambda w: w != ""), " ")
@@ -108,12 +117,12 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.sequence(F.lit(0), (k % 6).cast("int"))
     tokens = F.transform(places, lambda i: pick(TOKENS, k + i * 3))
     model = F.transform(tokens, lambda t, i: F.when((k % 7 == 0) & (i == 0), F.concat(t, F.lit("."))).when(k % 11 == 0, F.regexp_replace(t, "\u200c", "")).when((k % 13 == 0) & (i == 0), F.concat(t, F.lit("9"))).otherwise(t))
-    return table(spark, sf_dir, "orders").select(
+    return once(dealt(spark, sf_dir, "orders", "o_orderkey").select(
         F.concat(F.lit("e"), k).alias("id"), tokens.alias("tokens"), model.alias("model"),
         F.transform(places, lambda i: ((k + i) % 3 == 0).cast("int")).alias("ezafe"), F.transform(places, lambda i: ((k + i * 2) % 4 == 0).cast("int")).alias("pred"),
         pick(KINDS, F.floor(k / 3)).alias("source_kind"), pick(("fa.wikipedia.org", "digikala.com", "isna.ir"), F.floor(k / 3)).alias("domain"),
         F.filter(F.array(F.when(k % 2 == 0, "zwnj").otherwise(""), F.when(k % 5 == 0, "latin_brand").otherwise("")), lambda s: s != "").alias("strata"),
-    )
+    ))
 
 
 SOURCES = ("digikala.com", "fa.wikipedia", "shop_mag", "fa.wikipedia.org", "", "nowhere", "isna.ir", "m.wikipedia.org")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.charclass import SPACE
+from ..functions.text import once
 from ..operators import labels
 
 EXAMPLE = "id string, text string, tokens array<string>, char_spans array<array<int>>, ezafe array<int>, note string, verified boolean, ambiguous boolean, strata array<string>, source string, source_kind string, source_url string, license string, collected_at string, page_title string, revision_id string, labeled_by string, labeled_at string, tokenizer_source string, dadmatools_version string, tokens_minted_at string"
@@ -43,11 +45,6 @@ def keyword_file(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("ordinal", F.when(bare, F.format_string("k%03d", F.col("_before") + F.col("_nth"))).otherwise(X.squeeze(pair[0])).alias("keyword_id"), F.when(bare, X.squeeze(F.col("line"))).otherwise(X.squeeze(F.get(pair, 1))).alias("text"))
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """``rows`` behind a generator of one row each: what stands above names their columns without working them out again for each name."""
-    return rows.select(F.inline(F.array(F.struct("*"))))
-
-
 def _truth(field: Column) -> Column:
     """What counts as true of a JSON value: true, numbers but 0, texts and lists that aren't empty."""
     kind, text = F.schema_of_variant(field), field.cast("string")
@@ -80,8 +77,10 @@ def decode(lines: DataFrame) -> DataFrame:
     Blank lines and those that start with # are left out. Missing spans are found from the tokens, kinds of sources are resolved. The
     first rule that a line breaks ends the job, with the line's number.
     """
-    lines = lines.where((X.squeeze(F.col("value")) != "") & ~X.squeeze(F.col("value")).startswith("#"))
+    # lines may be made by what is costly, as those of encode() are: each is made once
+    lines = once(lines.select("value", "number")).where(F.col("value").rlike(f"^[{SPACE}]*[^#{SPACE}]"))
     rows = once(lines.select("value", "number", F.try_parse_json("value").alias("_v")))
+    is_object = F.col("_v").isNotNull() & F.col("value").rlike(r"^[ \t\r\n]*\{")
 
     def get(name: str, kind: str) -> Column:
         return F.try_variant_get("_v", f"$.{name}", kind)
@@ -89,13 +88,14 @@ def decode(lines: DataFrame) -> DataFrame:
     def field(name: str) -> Column:
         return F.coalesce(get(name, "string"), F.lit(""))
 
-    given, text, tokens = F.transform(get("char_spans", "array<array<int>>"), lambda s: F.struct(s[0].alias("start"), s[1].alias("end"))), get("text", "string"), get("tokens", "array<string>")
-    special = {"id": get("id", "string"), "text": text, "tokens": tokens, "char_spans": given, "ezafe": get("ezafe", "array<int>"), "verified": _truth(get("verified", "variant")), "ambiguous": _truth(get("ambiguous", "variant")), "strata": F.coalesce(get("strata", "array<string>"), F.array().cast("array<string>")), "source_kind": X.source_kind(field("source"), field("source_kind"), field("source_url"))}
+    given = F.transform(get("char_spans", "array<array<int>>"), lambda s: F.struct(s[0].alias("start"), s[1].alias("end")))
+    special = {"id": get("id", "string"), "text": get("text", "string"), "tokens": get("tokens", "array<string>"), "char_spans": given, "ezafe": get("ezafe", "array<int>"), "verified": get("verified", "variant"), "ambiguous": get("ambiguous", "variant"), "strata": F.coalesce(get("strata", "array<string>"), F.array().cast("array<string>"))}
     extra = F.to_json(F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, _: ~k.isin(*FIELDS)))
-    rows = once(rows.select("_v", "number", *(special.get(n, field(n)).alias(n) for n in FIELDS), extra.alias("extra")))
-    rows = once(rows.withColumn("char_spans", F.coalesce("char_spans", labels.spans(F.col("text"), F.col("tokens")))))
-    unread = F.get_json_object(F.col("_v").cast("string"), "$.ezafe").isNotNull() & F.col("ezafe").isNull()
-    wrong = F.when(F.col("_v").isNull() | ~F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)), "not a JSON object").when(unread, "labels must be 0 or 1").otherwise(problem())
+    rows = once(rows.select("_v", "number", is_object.alias("_object"), *(special.get(n, field(n)).alias(n) for n in FIELDS), extra.alias("extra")))
+    told = {"char_spans": F.coalesce("char_spans", labels.spans(F.col("text"), F.col("tokens"))), "verified": _truth(F.col("verified")), "ambiguous": _truth(F.col("ambiguous")), "source_kind": X.source_kind(F.col("source"), F.col("source_kind"), F.col("source_url"))}
+    rows = once(rows.withColumns(told))
+    unread = F.col("ezafe").isNull() & F.coalesce(F.schema_of_variant(get("ezafe", "variant")) != "VOID", F.lit(False))
+    wrong = F.when(~F.col("_object"), "not a JSON object").when(unread, "labels must be 0 or 1").otherwise(problem())
     said = F.concat(F.lit("line "), F.col("number").cast("string"), F.lit(": not an example: "), F.coalesce("id", F.lit("")), F.lit(" "), wrong)
     return rows.withColumn("_ok", F.when(wrong.isNotNull(), F.raise_error(said)).otherwise(True)).where("_ok").select(*FIELDS, "extra")
 
@@ -128,7 +128,9 @@ def encode(rows: DataFrame) -> DataFrame:
     fields = [spans.alias(n) if n == "char_spans" else F.col(n).alias(n) if n in rows.columns else F.lit(None).cast(kinds[n]).alias(n) for n in FIELDS]
     known = F.from_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), "map<string,variant>")
     extra = F.coalesce(F.from_json(F.col("extra") if "extra" in rows.columns else F.lit("{}"), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-    return rows.select(F.to_json(F.map_concat(F.map_filter(known, lambda k, _: ~F.array_contains(F.map_keys(extra), k)), extra), {"ignoreNullFields": "false"}).alias("value"))
+    # both maps are read once a row: named in a lambda, extra would be read again for each field
+    both = once(rows.select(known.alias("_known"), extra.alias("_extra"))).select("_known", "_extra", F.map_keys("_extra").alias("_own"))
+    return both.select(F.to_json(F.map_concat(F.map_filter("_known", lambda k, _: ~F.array_contains("_own", k)), "_extra"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_examples(rows: DataFrame, path: str) -> None:
