@@ -18,23 +18,29 @@ _LIGHT = "|".join(VERBS[:7]) + rf"|می{ZWNJ}[{WORD}]+|مي[{WORD}]+"
 
 def rejection(sentence: Column) -> Column:
     """The first rule that a sentence breaks, or null."""
-    s = X.squeeze(sentence)
-    bare, words = F.translate(s, ZWNJ, ""), F.split(s, " ")
-    persian = F.size(F.filter(words, lambda t: t.rlike(f"[{ARABIC}]")))
-    foreign = F.size(F.filter(words, lambda t: ~F.regexp_replace(t, f"^{_EDGES}|{_EDGES}\\z", "").rlike(f"[{ARABIC}]")))
-    chrome = s.contains(UI_PHRASES[0]) | bare.contains(UI_PHRASES[0])
-    for phrase in UI_PHRASES[1:]:
-        chrome |= s.contains(phrase) | bare.contains(phrase)
+    return X.bound(X.squeeze(sentence), _rejection)
+
+
+def _rejection(s: Column) -> Column:
+    def chrome(bare: Column) -> Column:
+        found = s.contains(UI_PHRASES[0]) | bare.contains(UI_PHRASES[0])
+        for phrase in UI_PHRASES[1:]:
+            found |= s.contains(phrase) | bare.contains(phrase)
+        return found
+
+    def of_words(words: Column) -> Column:
+        persian = F.size(F.filter(words, lambda t: t.rlike(f"[{ARABIC}]")))
+        foreign = F.size(F.filter(words, lambda t: ~F.regexp_replace(t, f"^{_EDGES}|{_EDGES}\\z", "").rlike(f"[{ARABIC}]")))
+        return F.when(persian < 7, "too_few_persian_tokens").when(foreign / F.size(words) > 0.30, "non_persian_token_ratio")
+
     end = X.squeeze(F.regexp_replace(s, rf"[.!?؟۔…»\"']+{END}", ""))
     return (
         F.when(s == "", "empty")
         .when(s.contains("...") | s.contains("…") | s.contains("|") | s.contains("｜"), "ellipsis_or_pipe")
         .when(s.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}") | s.rlike(r"(?i)https?://|www\."), "email_or_url")
         .when(s.rlike(rf"\p{{Nd}}+[{SPACE}]*(?:روز|ساعت|دقیقه|هفته|ماه)[{SPACE}]*(?:قبل|پیش)|دیروز|امروز[{SPACE}]+ساعت"), "relative_time")
-        .when(chrome, "ui_chrome")
-        .when(persian < 7, "too_few_persian_tokens")
-        .when(foreign / F.size(words) > 0.30, "non_persian_token_ratio")
-        .when(~end.rlike(rf"(?:{_CLAUSE})[{SPACE}]*[.!?؟۔…]?{END}"), "no_finite_verb_end")
+        .when(X.bound(F.translate(s, ZWNJ, ""), chrome), "ui_chrome")
+        .otherwise(F.coalesce(X.bound(F.split(s, " "), of_words), F.when(~end.rlike(rf"(?:{_CLAUSE})[{SPACE}]*[.!?؟۔…]?{END}"), "no_finite_verb_end")))
     )
 
 

@@ -65,13 +65,13 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_join(F.filter(F.array(pick(MARKED, k), F.when(k % 5 == 0, pick(MARKED, F.floor(k / 3))).otherwise(""), pick(TOPICS, F.floor(k / 7))), lambda w: w != ""), " ")
     turned = F.array_join(F.filter(F.array(pick(TOPICS, F.floor(k / 7)), pick(MARKED, k)), lambda w: w != ""), "  ")
     status = pick(STATUS, F.floor(k / 11))
-    return table(spark, sf_dir, "part").select(
+    return once(dealt(spark, sf_dir, "part", "p_partkey", "p_size").select(
         k.alias("ordinal"),
         F.when(k % 97 == 0, " ").when(k % 53 == 0, F.concat(F.lit("k"), k - 1)).otherwise(F.concat(F.lit("k"), k)).alias("keyword_id"),
         F.when(k % 3 == 1, turned).otherwise(words).alias("text"),
         F.when((status == "unknown") & (k % 13 > 0), None).when(k % 41 == 0, None).when(k % 43 == 0, -F.col("p_size")).otherwise(F.col("p_size")).cast("long").alias("search_demand"),
         status.alias("search_demand_status"),
-    )
+    ))
 
 
 KEYWORDS = f"""kw AS (SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 97 = 0 THEN ' ' WHEN p_partkey % 53 = 0 THEN 'k' || (p_partkey - 1) ELSE 'k' || p_partkey END AS keyword_id,
@@ -84,7 +84,7 @@ KEYWORDS = f"""kw AS (SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 97 = 0
 def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     keyword = F.when(k % 19 == 0, " ").otherwise(F.concat(pick(MARKED, F.floor(k / 4)), F.lit(" "), pick(TOPICS, F.floor(k / 9)), F.lit(" "), F.floor(k / 40).cast("string")))
-    return table(spark, sf_dir, "customer").select(
+    return once(dealt(spark, sf_dir, "customer", "c_custkey", "c_name").select(
         F.format_string("p%06d", k).alias("page_id"),
         F.concat(F.lit("/p/"), k).alias("url"),
         F.when(k % 3 == 0, keyword).otherwise(F.col("c_name")).alias("title"),
@@ -94,7 +94,7 @@ def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(ROLE, F.floor(k / 2)).alias("page_role"),
         (k * 37 % 900).alias("word_count"),
         (k % 6).alias("inbound_internal_links"),
-    )
+    ))
 
 
 _KEYWORD = f"CASE WHEN c_custkey % 19 = 0 THEN ' ' ELSE {sql_pick(MARKED, 'c_custkey // 4')} || ' ' || {sql_pick(TOPICS, 'c_custkey // 9')} || ' ' || (c_custkey // 40) END"
@@ -105,7 +105,7 @@ PAGES = f"""pg AS (SELECT 'p' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS pag
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("ordinal"), pick(SENTENCES, k * 7 + F.floor(k / 16)).alias("text"), pick(KINDS, F.floor(k / 3)).alias("kind"), pick(URLS, F.floor(k / 5)).alias("source_url"))
+    return once(dealt(spark, sf_dir, "customer", "c_custkey").select(k.alias("ordinal"), pick(SENTENCES, k * 7 + F.floor(k / 16)).alias("text"), pick(KINDS, F.floor(k / 3)).alias("kind"), pick(URLS, F.floor(k / 5)).alias("source_url")))
 
 
 SENTENCE_ROWS = f"se AS (SELECT c_custkey AS ordinal, {sql_pick(SENTENCES, 'c_custkey * 7 + c_custkey // 16')} AS text, {sql_pick(KINDS, 'c_custkey // 3')} AS kind, {sql_pick(URLS, 'c_custkey // 5')} AS source_url FROM customer)"
@@ -132,7 +132,7 @@ SOURCE_KINDS = ("", "wiki", "news_portal", "", "magazine", "", "odd")
 def sourced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, kinds and URLs of all sorts, and pages' sentences."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("ordinal"), F.concat(F.lit("s"), k).alias("id"), pick(SENTENCES, k * 7 + F.floor(k / 16)).alias("text"), pick(SOURCES, k).alias("source"), pick(SOURCE_KINDS, F.floor(k / 8)).alias("source_kind"), pick(URLS, F.floor(k / 56)).alias("source_url"))
+    return once(dealt(spark, sf_dir, "customer", "c_custkey").select(k.alias("ordinal"), F.concat(F.lit("s"), k).alias("id"), pick(SENTENCES, k * 7 + F.floor(k / 16)).alias("text"), pick(SOURCES, k).alias("source"), pick(SOURCE_KINDS, F.floor(k / 8)).alias("source_kind"), pick(URLS, F.floor(k / 56)).alias("source_url")))
 
 
 SOURCED_ROWS = f"so AS (SELECT c_custkey AS ordinal, 's' || c_custkey AS id, {sql_pick(SENTENCES, 'c_custkey * 7 + c_custkey // 16')} AS text, {sql_pick(SOURCES, 'c_custkey')} AS source, {sql_pick(SOURCE_KINDS, 'c_custkey // 8')} AS source_kind, {sql_pick(URLS, 'c_custkey // 56')} AS source_url FROM customer)"

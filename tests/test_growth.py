@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sarvgrid import catalogue
+from sarvgrid.functions import intent as I
 from sarvgrid.functions import text as X
+from sarvgrid.operators import backends, keywords, labels, report, sentences
 from sarvgrid.plans import fixtures
 from sarvgrid.sources import files
 
@@ -24,7 +26,7 @@ def test_round_trip_reads_each_map_once(spark):
     assert plan.count("try_parse_json(") + plan.count("parse_json(") <= 2
 
 
-@pytest.mark.parametrize("name", ["token_rows"])
+@pytest.mark.parametrize("name", ["token_rows", "sentence_rows", "sourced_rows", "keywords", "page_targets"])
 def test_keys_are_dealt_over_all_cores(spark, name):
     rows = getattr(fixtures, name)(spark, SF)
     sizes = rows.groupBy(F.spark_partition_id()).count().collect()
@@ -56,3 +58,19 @@ def test_entities_without_a_semicolon_stay(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?)", [(k, html) for k, (html, _, _) in enumerate(ENTITIES[:2])])
     said = dict(con.execute(catalogue.oracle_sql()["html_strip"]).fetchall())
     assert said[0] == rows[0].closed
+
+
+ONE_TEXT = "text string"
+
+
+def test_made_examples_find_tokens_once(spark):
+    plan = plan_of(catalogue.queries()["made_examples"](spark, SF))
+    # words of the rejection and raw tokens; strata cut the text for its number of words
+    assert plan.count("split(") <= 3 and plan.count("locate(") <= 1
+
+
+@pytest.mark.parametrize("name", ["rejected_rows", "reject_histogram", "sentence_reject", "made_examples"])
+def test_rules_run_above_the_deal(spark, name):
+    """Filters move below a deal by key unless something stands between: there, one task would run the rules."""
+    above, below = plan_of(catalogue.queries()[name](spark, SF)).split("RepartitionByExpression")
+    assert "regexp_replace" in above and "regexp_replace" not in below and "RLIKE" not in below
