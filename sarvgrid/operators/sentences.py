@@ -73,7 +73,8 @@ class Filtered(NamedTuple):
 
 def filtered(rows: DataFrame, text: str = "text", carry: tuple[str, ...] = ("id", "text", "source", "source_kind")) -> Filtered:
     """The rows whose sentence breaks no rule; the others as ``carry`` and the reason; and the number of rows by reason."""
-    told = rows.withColumn("reason", rejection(F.col(text)))
+    # behind once(), so that what asks for the reason doesn't work it out again
+    told = X.once(rows.withColumn("reason", rejection(F.col(text))))
     rejected = told.where("reason IS NOT NULL").select(*(c for c in carry if c in rows.columns), "reason")
     return Filtered(told.where("reason IS NULL").drop("reason"), rejected, rejected.groupBy("reason").agg(F.count("*").alias("n")))
 

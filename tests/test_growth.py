@@ -74,3 +74,8 @@ def test_rules_run_above_the_deal(spark, name):
     """Filters move below a deal by key unless something stands between: there, one task would run the rules."""
     above, below = plan_of(catalogue.queries()[name](spark, SF)).split("RepartitionByExpression")
     assert "regexp_replace" in above and "regexp_replace" not in below and "RLIKE" not in below
+
+
+@pytest.mark.parametrize("name,words", [("rejected_rows", 1)])
+def test_a_sentence_is_cut_into_words_once(spark, name, words):
+    assert plan_of(catalogue.queries()[name](spark, SF)).count("split(") == words
