@@ -298,7 +298,7 @@ def sentence_reject(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {fx.SENTENCE_ROWS}, re AS (SELECT {q.rejection('text')} AS reason FROM se) SELECT reason, count(*) AS n FROM re WHERE reason IS NOT NULL GROUP BY reason")
 def reject_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.sentence_rows(spark, sf).select(sentences.rejection(F.col("text")).alias("reason"))
+    rows = X.once(fx.sentence_rows(spark, sf).select(sentences.rejection(F.col("text")).alias("reason")))
     return rows.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -76,6 +76,6 @@ def test_rules_run_above_the_deal(spark, name):
     assert "regexp_replace" in above and "regexp_replace" not in below and "RLIKE" not in below
 
 
-@pytest.mark.parametrize("name,words", [("rejected_rows", 1)])
+@pytest.mark.parametrize("name,words", [("rejected_rows", 1), ("reject_histogram", 1)])
 def test_a_sentence_is_cut_into_words_once(spark, name, words):
     assert plan_of(catalogue.queries()[name](spark, SF)).count("split(") == words
