@@ -76,6 +76,11 @@ def test_rules_run_above_the_deal(spark, name):
     assert "regexp_replace" in above and "regexp_replace" not in below and "RLIKE" not in below
 
 
-@pytest.mark.parametrize("name,words", [("rejected_rows", 1), ("reject_histogram", 1)])
+@pytest.mark.parametrize("name,words", [("rejected_rows", 1), ("reject_histogram", 1), ("sentence_reject", 1)])
 def test_a_sentence_is_cut_into_words_once(spark, name, words):
     assert plan_of(catalogue.queries()[name](spark, SF)).count("split(") == words
+
+
+def test_rejection_of_null_and_odd_sentences(spark):
+    rows = spark.createDataFrame([(None,), ("",), (" \u00a0 ",), ("a|b",), ("سلام دنیا",), ("یک دو سه چهار پنج شش هفت هشت است\n",)], ONE_TEXT)
+    assert [r.r for r in rows.select(sentences.rejection(F.col("text")).alias("r")).collect()] == [None, "empty", "empty", "ellipsis_or_pipe", "too_few_persian_tokens", None]
