@@ -10,8 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .charclass import ARABIC_DIGITS, ASCII_DIGITS, CHARACTERS, INSUFFICIENT_CORE, INTENTS, MARKERS, PERSIAN_DIGITS, STOPWORDS, SUFFIXES, ZWJ, ZWNJ
-from .text import lookup
+from .text import bound, lookup
 
+#: All codes that reason_codes() may give.
+CODES = ("intent_unknown", *(f"intent_{c}" for c in INTENTS), "multiple_intent_categories", "informational_precedes_transactional")
 FIRED = "array<struct<surface:string,intent:string,start:int,words:array<string>>>"
 
 
@@ -36,21 +38,27 @@ def catalogue() -> dict[tuple[str, ...], tuple[str, str]]:
 
 def markers(words: Column) -> Column:
     """Marker phrases in tokens from left to right, the longest at each place; a token belongs to one phrase at most."""
+    return bound(words, _markers)
+
+
+def _markers(words: Column) -> Column:
     known = catalogue()
-    longest = max(map(len, known))
     by_words = {" ".join(w): v for w, v in known.items()}
     surface, intent = {k: v[0] for k, v in by_words.items()}, {k: v[1] for k, v in by_words.items()}
+    of_length = {n: [" ".join(w) for w in known if len(w) == n] for n in sorted({len(w) for w in known}, reverse=True)}
 
     def here(i: Column) -> Column:
         """The number of tokens of the longest phrase that starts at i."""
-        return F.coalesce(*(F.when((i + n <= F.size(words)) & lookup(surface, F.array_join(F.slice(words, i + 1, n), " ")).isNotNull(), F.lit(n)) for n in range(longest, 0, -1)), F.lit(0))
+        return F.coalesce(*(F.when((i + n <= F.size(words)) & F.array_join(F.slice(words, i + 1, n), " ").isin(*phrases), F.lit(n)) for n, phrases in of_length.items()), F.lit(0))
 
     def step(state: Column, i: Column) -> Column:
-        n = here(i)
-        fires = (i >= state["free"]) & (n > 0)
-        phrase = F.slice(words, i + 1, F.greatest(n, F.lit(1)))
-        fired = F.struct(lookup(surface, F.array_join(phrase, " ")).alias("surface"), lookup(intent, F.array_join(phrase, " ")).alias("intent"), i.cast("int").alias("start"), phrase.alias("words"))
-        return F.struct(F.when(fires, i + n).otherwise(state["free"]).cast("int").alias("free"), F.when(fires, F.concat(state["fired"], F.array(fired))).otherwise(state["fired"]).cast(FIRED).alias("fired"))
+        def fire(n: Column) -> Column:
+            phrase = F.slice(words, i + 1, F.greatest(n, F.lit(1)))
+            text = F.array_join(phrase, " ")
+            fired = F.struct(lookup(surface, text).alias("surface"), lookup(intent, text).alias("intent"), i.cast("int").alias("start"), phrase.alias("words"))
+            return F.struct(F.when(n > 0, i + n).otherwise(state["free"]).cast("int").alias("free"), F.when(n > 0, F.concat(state["fired"], F.array(fired))).otherwise(state["fired"]).cast(FIRED).alias("fired"))
+
+        return bound(F.when(i >= state["free"], here(i)).otherwise(0), fire)
 
     start = F.struct(F.lit(0).alias("free"), F.array().cast(FIRED).alias("fired"))
     places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
@@ -71,15 +79,16 @@ def _informational_first(fired: Column) -> Column:
 
 
 def intent(fired: Column) -> Column:
-    found = categories(fired)
-    return F.when(F.size(found) == 0, "unknown").when((F.size(found) > 1) & _informational_first(fired), "informational").otherwise(F.try_element_at(found, F.lit(1)))
+    return bound(categories(fired), lambda found: F.when(F.size(found) == 0, "unknown").when((F.size(found) > 1) & _informational_first(fired), "informational").otherwise(F.try_element_at(found, F.lit(1))))
 
 
 def reason_codes(fired: Column) -> Column:
-    found = categories(fired)
-    several = F.size(found) > 1
-    more = F.array_compact(F.array(F.when(several, F.lit("multiple_intent_categories")), F.when(several & _informational_first(fired), F.lit("informational_precedes_transactional"))))
-    return F.when(F.size(found) == 0, F.array(F.lit("intent_unknown"))).otherwise(F.concat(F.transform(found, lambda c: F.concat(F.lit("intent_"), c)), more))
+    def codes(found: Column) -> Column:
+        several = F.size(found) > 1
+        more = F.array_compact(F.array(F.when(several, F.lit("multiple_intent_categories")), F.when(several & _informational_first(fired), F.lit("informational_precedes_transactional"))))
+        return F.when(F.size(found) == 0, F.array(F.lit("intent_unknown"))).otherwise(F.concat(F.transform(found, lambda c: F.concat(F.lit("intent_"), c)), more))
+
+    return bound(categories(fired), codes)
 
 
 def competing(fired: Column) -> Column:
@@ -96,5 +105,4 @@ def topic_core(content: Column, fired: Column) -> Column:
         at = F.array_position(rest, token).cast("int")
         return F.when(at > 0, F.concat(F.slice(rest, F.lit(1), at - 1), F.slice(rest, at + 1, F.size(rest)))).otherwise(rest)
 
-    left = F.aggregate(gone, content, drop)
-    return F.when((F.size(left) > 0) & F.forall(left, lambda t: t.isin(*INSUFFICIENT_CORE)), content).otherwise(left)
+    return bound(F.aggregate(gone, content, drop), lambda left: F.when((F.size(left) > 0) & F.forall(left, lambda t: t.isin(*INSUFFICIENT_CORE)), content).otherwise(left))

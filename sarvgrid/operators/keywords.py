@@ -88,15 +88,23 @@ class Clusters(NamedTuple):
     skipped: DataFrame
 
 
-def cluster(keywords: DataFrame, ordered: bool = False) -> Clusters:
-    """One row for each (topic core, intent): its head, members (head first, then by id) and reason codes; and the skipped rows."""
-    members = F.sort_array(F.collect_list(F.struct((F.col("head_rank") != 1).alias("after"), *MEMBER)))
-    rows = ranked(keywords, ordered).groupBy("topic_core_fingerprint", "intent").agg(members.alias("members"), F.max("head_decided_by").alias("head_decided_by"))
-    codes = F.array_distinct(F.flatten(F.transform("members", lambda m: m["intent_reason_codes"])))
+def cluster(keywords: DataFrame, ordered: bool = False, member: tuple[str, ...] = MEMBER) -> Clusters:
+    """One row for each (topic core, intent): its head, members (head first, then by id; fields ``member``, keyword_id the first), their
+    number, label and reason codes; and the skipped rows.
+
+    Only members hold a row's fields for each keyword: what doesn't ask for them needs no memory that grows with a cluster.
+    """
+    after, codes = (F.col("head_rank") != 1).alias("after"), F.col("intent_reason_codes")
+    members = F.sort_array(F.collect_list(F.struct(after, *member)))
+    head = F.first(F.when(F.col("head_rank") == 1, F.struct("keyword_id", "text", F.array_join("topic_core_tokens", " ").alias("label"))), ignorenulls=True)
+    # codes in order of where they first stand in those of the members
+    stands = [F.min(F.when(F.array_contains(codes, c), F.struct(after, "keyword_id", F.array_position(codes, c).alias("at"), F.lit(c).alias("code")))) for c in I.CODES]
+    stands = F.transform(F.sort_array(F.array_compact(F.array(*stands))), lambda x: x["code"])
+    rows = ranked(keywords, ordered).groupBy("topic_core_fingerprint", "intent").agg(members.alias("members"), F.count("*").alias("n_members"), head.alias("head"), stands.alias("codes"), F.max("head_decided_by").alias("head_decided_by"))
     found = rows.select(
         F.concat("topic_core_fingerprint", F.lit(":"), "intent").alias("cluster_id"), "topic_core_fingerprint", "intent",
-        F.col("members")[0]["keyword_id"].alias("head_keyword_id"), F.col("members")[0]["text"].alias("head_text"), "members", "head_decided_by",
-        F.concat(codes, F.when(F.size("members") == 1, F.array(F.lit("singleton_cluster"))).otherwise(F.array().cast("array<string>"))).alias("reason_codes"),
+        F.col("head.keyword_id").alias("head_keyword_id"), F.col("head.text").alias("head_text"), "members", "head_decided_by",
+        F.concat("codes", F.when(F.col("n_members") == 1, F.array(F.lit("singleton_cluster"))).otherwise(F.array().cast("array<string>"))).alias("reason_codes"), "n_members", F.col("head.label").alias("label"),
     )
     said = F.replace(X.lookup(SKIP_TEXTS, F.col("reason_code")), F.lit("{status}"), F.coalesce("search_demand_status", F.lit("")))
     return Clusters(found, validated(keywords).where("reason_code IS NOT NULL").select("keyword_id", "text", "reason_code", said.alias("reason_fa")))
@@ -105,5 +113,4 @@ def cluster(keywords: DataFrame, ordered: bool = False) -> Clusters:
 def hubs(clusters: DataFrame) -> DataFrame:
     """Clusters of one topic core: label, number of keywords and of intents."""
     rank = X.lookup({n: k for k, n in enumerate((*INTENTS, "unknown"))}, F.col("intent"))
-    label = F.array_join(F.col("members")[0]["topic_core_tokens"], " ")
-    return clusters.groupBy("topic_core_fingerprint").agg(F.min_by(label, F.struct(rank, "cluster_id")).alias("label"), F.sum(F.size("members")).alias("keyword_count"), F.count_distinct("intent").alias("intent_count"), F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "cluster_id"))).alias("clusters"))
+    return clusters.groupBy("topic_core_fingerprint").agg(F.min_by("label", F.struct(rank, "cluster_id")).alias("label"), F.sum("n_members").alias("keyword_count"), F.count_distinct("intent").alias("intent_count"), F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "cluster_id"))).alias("clusters"))

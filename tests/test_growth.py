@@ -89,3 +89,8 @@ def test_rejection_of_null_and_odd_sentences(spark):
 def test_display_unifies_a_text_once(spark):
     plan = plan_of(spark.createDataFrame([("a",)], ONE_TEXT).select(X.display(F.col("text")).alias("d")))
     assert plan.count("regexp_replace(") <= 12
+
+
+def test_hubs_hold_no_members(spark):
+    for name in ("topic_hubs", "cluster_members"):
+        assert "collect_list" not in plan_of(catalogue.queries()[name](spark, SF))
