@@ -55,7 +55,7 @@ def strata(text: Column) -> Column:
     # white space or the end
     stop = f"(?:[{SPACE}]|\\z)"
     ye = rf"ی[{SPACE}]+که|یی{stop}|یک[{SPACE}]+[^{SPACE}]+ی{stop}|(?:^|[{SPACE}])[^{SPACE}]+ی[{SPACE}]+را{stop}"
-    clause = X.word_count(text).between(5, 10) & ~text.rlike(rf"[{SPACE}]+(?:ی|ِ)[{SPACE}]+") & text.rlike(rf"(?:{_LIGHT})[{SPACE}]*[.!?؟۔]?{END}")
+    clause = X.bound(X.word_count(text), lambda n: n.between(5, 10)) & ~text.rlike(rf"[{SPACE}]+(?:ی|ِ)[{SPACE}]+") & text.rlike(rf"(?:{_LIGHT})[{SPACE}]*[.!?؟۔]?{END}")
     tags = {"zwnj": text.contains(ZWNJ), "plural_ha": text.contains("ها"), "ye_non_ezafe": text.rlike(ye), "latin_brand": text.rlike("[A-Za-z]"), "number_unit": text.rlike(number), "no_ezafe_candidate": clause}
     return F.array_compact(F.array(*(F.when(test, F.lit(tag)) for tag, test in tags.items())))
 

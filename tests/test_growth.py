@@ -94,3 +94,7 @@ def test_display_unifies_a_text_once(spark):
 def test_hubs_hold_no_members(spark):
     for name in ("topic_hubs", "cluster_members"):
         assert "collect_list" not in plan_of(catalogue.queries()[name](spark, SF))
+
+
+def test_strata_count_words_once(spark):
+    assert plan_of(catalogue.queries()["strata_tags"](spark, SF)).count("split(") == 1
