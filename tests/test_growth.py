@@ -96,5 +96,10 @@ def test_hubs_hold_no_members(spark):
         assert "collect_list" not in plan_of(catalogue.queries()[name](spark, SF))
 
 
+def test_markers_cut_a_text_once(spark):
+    plan = plan_of(spark.createDataFrame([("a",)], ONE_TEXT).select(I.markers(X.tokens(F.col("text"))).alias("m")))
+    assert plan.count("split(") == 1
+
+
 def test_strata_count_words_once(spark):
     assert plan_of(catalogue.queries()["strata_tags"](spark, SF)).count("split(") == 1
