@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.charclass import INTENTS
-from .keywords import cluster, hubs
+from .keywords import cluster, hubs, validated
 from .labels import MAX_UNALIGNED, alignment_rates, alignment_samples
 from .sentences import filtered, template_report
 
@@ -19,15 +19,22 @@ NONE = "—"
 
 def summary(keywords: DataFrame) -> DataFrame:
     """One row: inputs, clusters, hubs, mean_intents (two decimals, — without hubs), skipped, and the clusters by intent as a map."""
-    found, skipped = cluster(keywords)
-    of_intent = found.groupBy("intent").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clusters"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("intent", "n")))).alias("intents"))
-    of_hubs = hubs(found).agg(F.count("*").alias("hubs"), F.coalesce(F.format_string("%.2f", F.avg("intent_count")), F.lit(NONE)).alias("mean"))
-    of_hubs = of_hubs.select("hubs", F.when(F.col("hubs") > 0, F.col("mean")).otherwise(NONE).alias("mean_intents"))
-    one_rows = [keywords.agg(F.count("*").alias("inputs")), of_intent, of_hubs, skipped.agg(F.count("*").alias("skipped"))]
-    out = one_rows[0]
-    for row in one_rows[1:]:  # each is one row
-        out = out.crossJoin(row)
-    return out
+    rows, valid = validated(keywords), F.col("reason_code").isNull()
+    told = rows.select(F.when(valid, X.fingerprint(F.array_join("topic_core_tokens", " "))).alias("hub"), F.when(valid, F.col("intent")).alias("intent"))
+    # one pass: clusters are counted, then hubs, where the skipped rows share the hub that is null; a hub's intents have a column each
+    names = sorted((*INTENTS, "unknown"))
+    of_hubs = told.groupBy("hub", "intent").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum("n").alias("n"), *(F.count_if(F.col("intent") == c).alias(c) for c in names))
+    hub, own = F.col("hub").isNotNull(), F.col(names[0])
+    for c in names[1:]:
+        own = own + F.col(c)
+    zero = F.lit(0).cast("long")
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.coalesce(F.sum(c), zero).alias("value")) for c in names)), lambda e: e["value"] > 0)
+    mean = F.coalesce(F.format_string("%.2f", F.avg(F.when(hub, own))), F.lit(NONE))
+    n_hubs = F.count_if(hub)
+    return of_hubs.agg(
+        F.coalesce(F.sum("n"), zero).alias("inputs"), F.coalesce(F.sum(F.when(hub, own)), zero).alias("clusters"), F.map_from_entries(entries).alias("intents"),
+        n_hubs.alias("hubs"), F.when(n_hubs > 0, mean).otherwise(NONE).alias("mean_intents"), F.coalesce(F.sum(F.when(~hub, F.col("n"))), zero).alias("skipped"),
+    )
 
 
 def _cells(*values: Column) -> Column:

@@ -103,3 +103,13 @@ def test_markers_cut_a_text_once(spark):
 
 def test_strata_count_words_once(spark):
     assert plan_of(catalogue.queries()["strata_tags"](spark, SF)).count("split(") == 1
+
+
+def test_summary_is_one_pass(spark):
+    plan = plan_of(catalogue.queries()["report_summary"](spark, SF))
+    assert plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_summary_of_skipped_rows_only(spark):
+    s = report.summary(spark.createDataFrame([(0, " ", "x", None, "unknown"), (1, "a", "", None, "unknown")], "ordinal long, keyword_id string, text string, search_demand long, search_demand_status string")).first()
+    assert s.asDict() == {"inputs": 2, "clusters": 0, "intents": {}, "hubs": 0, "mean_intents": "—", "skipped": 2}
