@@ -110,6 +110,20 @@ def test_summary_is_one_pass(spark):
     assert plan.count("Window [") == 1 and "Join" not in plan
 
 
+def test_audit_runs_its_backend_once(spark):
+    @backends.register("halting")
+    def halting(text):
+        if text == "bad":
+            raise RuntimeError(text)
+        return [(0, text)] if text == "short" else [(i, w, w.startswith("x"), 0.5, None) for i, w in enumerate(text.split())]
+
+    rows = spark.createDataFrame([(0, "xa b xc"), (1, "bad"), (2, " "), (3, None), (4, "b"), (5, "short"), (6, "xd")], "id int, text string")
+    found = backends.audit(rows, "halting", True)
+    assert plan_of(found).count("EvalPython") == 1
+    assert sorted((r.id, r["index"], r.token, r.skipped, r.skip_reason) for r in found.where("NOT skipped").collect()) == [(0, 0, "xa", False, None), (0, 2, "xc", False, None), (6, 0, "xd", False, None)]
+    assert sorted((r.id, r["index"], r.token, r.skip_reason) for r in found.where("skipped").collect()) == [(1, None, None, "backend_error"), (5, None, None, "backend_error")]
+
+
 def test_summary_of_skipped_rows_only(spark):
     s = report.summary(spark.createDataFrame([(0, " ", "x", None, "unknown"), (1, "a", "", None, "unknown")], "ordinal long, keyword_id string, text string, search_demand long, search_demand_status string")).first()
     assert s.asDict() == {"inputs": 2, "clusters": 0, "intents": {}, "hubs": 0, "mean_intents": "—", "skipped": 2}
