@@ -11,13 +11,14 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.charclass import OUTSIDE_LABELS
 
 Mark = tuple[int, str, bool, float | None, str | None]
+MARK = {"index": pa.int32(), "token": pa.string(), "has_ezafe": pa.bool_(), "confidence": pa.float64(), "raw_label": pa.string()}
 MARKS = "array<struct<index:int,token:string,has_ezafe:boolean,confidence:double,raw_label:string>>"
 REGISTRY: dict[str, Callable[[str], list[Mark]]] = {}
 
@@ -165,16 +166,22 @@ def marks(text: Column, backend: str = "rule") -> Column:
         raise LookupError(f"backend {backend} is not installed")
     detect = REGISTRY[backend]
 
-    @F.pandas_udf(MARKS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # marks go out as five columns and where each text's begin: a dictionary a mark takes most of the time of a simple backend
+    @F.arrow_udf(MARKS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for t in texts:
+            found, starts = [], []
+            for t in texts.to_pylist():
                 try:
-                    out.append([dict(zip(("index", "token", "has_ezafe", "confidence", "raw_label"), m, strict=True)) for m in detect(t)] if t and t.strip() else [])
+                    own = [(i, token, has, sure, label) for i, token, has, sure, label in detect(t)] if t and t.strip() else []
                 except Exception:  # noqa: BLE001  one text's failure is its own unknown
-                    out.append(None)
-            yield pd.Series(out)
+                    starts.append(None)
+                else:
+                    starts.append(len(found))
+                    found += own
+            columns = zip(*found, strict=True) if found else [()] * len(MARK)
+            cells = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, MARK.values(), strict=True)], list(MARK))
+            yield pa.ListArray.from_arrays(pa.array([*starts, len(found)], pa.int32()), cells)
 
     return run(text)
 

@@ -124,6 +124,13 @@ def test_audit_runs_its_backend_once(spark):
     assert sorted((r.id, r["index"], r.token, r.skip_reason) for r in found.where("skipped").collect()) == [(1, None, None, "backend_error"), (5, None, None, "backend_error")]
 
 
+def test_marks_of_mixed_texts(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["", None, "کتابِ من", " ", "a"])], "k int, text string").coalesce(1)
+    got = [r.m for r in rows.select("k", backends.marks(F.col("text")).alias("m")).orderBy("k").collect()]
+    assert [m and [tuple(x) for x in m] for m in got] == [[], [], [(0, "کتابِ", True, None, "S-kasreh"), (1, "من", False, None, "O")], [], [(0, "a", False, None, "O")]]
+    assert rows.where("text = ''").select(backends.marks(F.col("text")).alias("m")).first().m == []
+
+
 def test_summary_of_skipped_rows_only(spark):
     s = report.summary(spark.createDataFrame([(0, " ", "x", None, "unknown"), (1, "a", "", None, "unknown")], "ordinal long, keyword_id string, text string, search_demand long, search_demand_status string")).first()
     assert s.asDict() == {"inputs": 2, "clusters": 0, "intents": {}, "hubs": 0, "mean_intents": "—", "skipped": 2}
