@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.charclass import ARABIC, STRATA_QUOTAS, WORD, ZWNJ
 from .sentences import labelable
 
@@ -16,12 +17,14 @@ SPAN = "struct<start:int,end:int>"
 
 def spans(text: Column, tokens: Column) -> Column:
     """Half-open character spans of tokens in order, each searched from the end of the one before; null where one isn't found."""
-    def step(state: Column, token: Column) -> Column:
-        at = F.call_function("locate", token, text, state["pos"] + 1) - 1
+    def moved(state: Column, token: Column, at: Column) -> Column:
         ok = state["ok"] & (at >= 0) & (token != "")
         span = F.struct(at.cast("int").alias("start"), (at + F.length(token)).cast("int").alias("end"))
         return F.struct(ok.alias("ok"), F.when(ok, at + F.length(token)).otherwise(state["pos"]).cast("int").alias("pos"), F.when(ok, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).cast(f"array<{SPAN}>").alias("spans"))
 
+    def step(state: Column, token: Column) -> Column:
+        return X.bound(F.call_function("locate", token, text, state["pos"] + 1) - 1, lambda at: moved(state, token, at))
+
     start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("spans"))
     return F.aggregate(tokens, start, step, lambda s: F.when(s["ok"], s["spans"]))
 

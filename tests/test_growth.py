@@ -131,6 +131,11 @@ def test_marks_of_mixed_texts(spark):
     assert rows.where("text = ''").select(backends.marks(F.col("text")).alias("m")).first().m == []
 
 
+def test_spans_look_up_a_token_once(spark):
+    plan = plan_of(spark.createDataFrame([("a b",)], ONE_TEXT).select(labels.spans(F.col("text"), F.split("text", " ")).alias("s")))
+    assert plan.count("locate(") == 1
+
+
 def test_summary_of_skipped_rows_only(spark):
     s = report.summary(spark.createDataFrame([(0, " ", "x", None, "unknown"), (1, "a", "", None, "unknown")], "ordinal long, keyword_id string, text string, search_demand long, search_demand_status string")).first()
     assert s.asDict() == {"inputs": 2, "clusters": 0, "intents": {}, "hubs": 0, "mean_intents": "—", "skipped": 2}
