@@ -111,8 +111,8 @@ _DECIDED = "CASE WHEN n1 IS NULL THEN 'singleton' WHEN k1 <> n1 THEN 'search_dem
  me AS (SELECT topic_core_fingerprint || ':' || intent AS cluster_id, count(*) AS n_members, array_to_string(list(keyword_id ORDER BY head_rank > 1, keyword_id), ' ') AS members, flatten(list(codes ORDER BY head_rank > 1, keyword_id)) AS codes FROM ra GROUP BY 1)
  SELECT cluster_id, head_keyword_id, head_text, head_decided_by, n_members, members, array_to_string(list_concat(list_transform(list_filter(range(1, len(codes) + 1), lambda i: list_position(codes, codes[i]) = i), lambda i: codes[i]), CASE WHEN n_members = 1 THEN ['singleton_cluster'] ELSE [] END), ' ') AS reason_codes FROM he JOIN me USING (cluster_id)""")
 def keyword_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    found = keywords.cluster(fx.keywords(spark, sf)).clusters
-    return found.select("cluster_id", "head_keyword_id", "head_text", "head_decided_by", long(F.size("members")).alias("n_members"), joined(F.transform("members", lambda m: m["keyword_id"])).alias("members"), joined("reason_codes").alias("reason_codes"))
+    found = keywords.cluster(fx.keywords(spark, sf), member=("keyword_id",)).clusters
+    return found.select("cluster_id", "head_keyword_id", "head_text", "head_decided_by", "n_members", joined(F.transform("members", lambda m: m["keyword_id"])).alias("members"), joined("reason_codes").alias("reason_codes"))
 
 
 _RANK = "CASE intent " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(C.INTENTS)) + " ELSE 4 END"

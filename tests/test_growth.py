@@ -136,6 +136,19 @@ def test_spans_look_up_a_token_once(spark):
     assert plan.count("locate(") == 1
 
 
+def test_clusters_with_few_fields_of_members(spark):
+    rows = fixtures.keywords(spark, SF)
+    found, few = keywords.cluster(rows).clusters.collect(), {r.cluster_id: r for r in keywords.cluster(rows, member=("keyword_id",)).clusters.collect()}
+    assert len(found) == len(few) > 1
+    for r in found:
+        codes = dict.fromkeys(c for m in r.members for c in m.intent_reason_codes)
+        assert r.reason_codes == [*codes, *(["singleton_cluster"] if len(r.members) == 1 else [])]
+        assert (r.head_keyword_id, r.head_text, r.label, r.n_members) == (r.members[0].keyword_id, r.members[0].text, " ".join(r.members[0].topic_core_tokens), len(r.members))
+        own = few[r.cluster_id]
+        assert [m.keyword_id for m in own.members] == [m.keyword_id for m in r.members] and own.members[0].__fields__ == ["after", "keyword_id"]
+        assert (own.reason_codes, own.head_text, own.head_decided_by) == (r.reason_codes, r.head_text, r.head_decided_by)
+
+
 def test_summary_of_skipped_rows_only(spark):
     s = report.summary(spark.createDataFrame([(0, " ", "x", None, "unknown"), (1, "a", "", None, "unknown")], "ordinal long, keyword_id string, text string, search_demand long, search_demand_status string")).first()
     assert s.asDict() == {"inputs": 2, "clusters": 0, "intents": {}, "hubs": 0, "mean_intents": "—", "skipped": 2}
