@@ -104,7 +104,7 @@ def cluster(keywords: DataFrame, ordered: bool = False, member: tuple[str, ...]
     found = rows.select(
         F.concat("topic_core_fingerprint", F.lit(":"), "intent").alias("cluster_id"), "topic_core_fingerprint", "intent",
         F.col("head.keyword_id").alias("head_keyword_id"), F.col("head.text").alias("head_text"), "members", "head_decided_by",
-        F.concat("codes", F.when(F.col("n_members") == 1, F.array(F.lit("singleton_cluster"))).otherwise(F.array().cast("array<string>"))).alias("reason_codes"), "n_members", F.col("head.label").alias("label"),
+        F.concat("codes", F.when(F.col("n_members") == 1, F.array(F.lit("singleton_cluster"))).otherwise(F.array().cast("array<string>"))).alias("reason_codes"), "n_members", F.col("head.label").alias("head_label"),
     )
     said = F.replace(X.lookup(SKIP_TEXTS, F.col("reason_code")), F.lit("{status}"), F.coalesce("search_demand_status", F.lit("")))
     return Clusters(found, validated(keywords).where("reason_code IS NOT NULL").select("keyword_id", "text", "reason_code", said.alias("reason_fa")))
@@ -113,4 +113,4 @@ def cluster(keywords: DataFrame, ordered: bool = False, member: tuple[str, ...]
 def hubs(clusters: DataFrame) -> DataFrame:
     """Clusters of one topic core: label, number of keywords and of intents."""
     rank = X.lookup({n: k for k, n in enumerate((*INTENTS, "unknown"))}, F.col("intent"))
-    return clusters.groupBy("topic_core_fingerprint").agg(F.min_by("label", F.struct(rank, "cluster_id")).alias("label"), F.sum("n_members").alias("keyword_count"), F.count_distinct("intent").alias("intent_count"), F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "cluster_id"))).alias("clusters"))
+    return clusters.groupBy("topic_core_fingerprint").agg(F.min_by("head_label", F.struct(rank, "cluster_id")).alias("label"), F.sum("n_members").alias("keyword_count"), F.count_distinct("intent").alias("intent_count"), F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "cluster_id"))).alias("clusters"))

@@ -143,7 +143,7 @@ def test_clusters_with_few_fields_of_members(spark):
     for r in found:
         codes = dict.fromkeys(c for m in r.members for c in m.intent_reason_codes)
         assert r.reason_codes == [*codes, *(["singleton_cluster"] if len(r.members) == 1 else [])]
-        assert (r.head_keyword_id, r.head_text, r.label, r.n_members) == (r.members[0].keyword_id, r.members[0].text, " ".join(r.members[0].topic_core_tokens), len(r.members))
+        assert (r.head_keyword_id, r.head_text, r.head_label, r.n_members) == (r.members[0].keyword_id, r.members[0].text, " ".join(r.members[0].topic_core_tokens), len(r.members))
         own = few[r.cluster_id]
         assert [m.keyword_id for m in own.members] == [m.keyword_id for m in r.members] and own.members[0].__fields__ == ["after", "keyword_id"]
         assert (own.reason_codes, own.head_text, own.head_decided_by) == (r.reason_codes, r.head_text, r.head_decided_by)
